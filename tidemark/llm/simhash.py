@@ -129,7 +129,8 @@ def components(docs: DataFrame, cell_limit: int = 256) -> DataFrame:
     roots = connected_components(links(distinct.select("fp"), cell_limit))
     grouped = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("first").alias("least"))
     of = roots.join(grouped, "root").select(F.col("node").alias("fp"), "least")
-    named = distinct.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # A table of its own, so that the join below has an exchange on either side and Spark can split a hot fingerprint.
+    named = cut(distinct.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
