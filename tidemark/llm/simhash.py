@@ -68,7 +68,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """For every fingerprint that links to others here, an edge to the first of its group."""
     n = len(fps)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= RADIUS
+    bits = fps.view(np.uint64)  # of a signed number, numpy counts the bits of its absolute value
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= RADIUS
     label = np.arange(n)
     while True:
         least = np.where(near, label[None, :], n).min(1)
