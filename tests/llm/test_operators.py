@@ -1,0 +1,266 @@
+"""Each operator against a brute-force version, a library or a round trip, on small and awkward tables."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+pytest.importorskip("tidemark.llm")
+from conftest import DATA, assert_same
+
+from tidemark.llm import components, elias_fano, fixity, language, language_model, licenses, mixing, pieces, queries, sentencepieces, simhash, token_counts, topk, vector_dedup
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", None, " \t\n", "one", "Two words", "a b c", "A B C", "licensed under the mit license", "1 2 3 4", "😀 é ▁x ﬁ", "x" * 5000, "\x00\x7f", "same text here", "same text here"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns that clash by case."""
+    rows = [(i if i != 4 else None, t, None if i % 3 else "en", None if i % 4 == 0 else f"s{i % 3}", None, 1, "x") for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[6]], f"{DOCS}, size long, TEXT string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, duck, name):
+    assert_same(queries.QUERIES[name](spark, DATA), duck, queries.ORACLES[name])
+
+
+def test_sentencepiece_equals_library(docs, odd):
+    library = pieces.load(queries.vocabulary()).library
+    for frame in (docs.limit(60), odd):
+        text = {(r.doc_id, r.text) for r in frame.collect()}
+        want = sorted((str(i), " ".join(map(str, [*library.encode(t or ""), 2])), library.decode([*library.encode(t or ""), 2])) for i, t in text)
+        got = sorted({(str(r.doc_id), r.ids, r.decoded) for r in sentencepieces.encode(frame, queries.vocabulary()).collect()})
+        assert got == want
+    one = sentencepieces.decode(sentencepieces.encode(docs.limit(5), queries.vocabulary()), queries.vocabulary())
+    assert {r.doc_id: r.text for r in one.collect()} == {r.doc_id: r.text for r in docs.limit(5).collect()}
+
+
+def test_agenda_forms_agree():
+    p, rng = pieces.load(queries.vocabulary()), random.Random(3)
+    for _ in range(500):
+        w = "".join(rng.choice("▁aehtinr\né") for _ in range(rng.randint(1, 80)))
+        assert p.merge_long(w) == p.merge(w[:48]) if len(w) <= 48 else p.merge_long(w) == p.merge(w)
+
+
+def test_token_counts_at_every_prefix(docs, odd):
+    library = pieces.load(queries.vocabulary()).library
+    for r in token_counts.prefix_counts(odd, queries.vocabulary()).collect():
+        assert r.counts[0] == 0
+    texts = [t for t in ODD if t and len(t) < 200] + [r.text[:150] for r in docs.limit(5).collect()]
+    p = pieces.load(queries.vocabulary())
+    for t in texts:
+        assert token_counts.text_counts(p, t) == [len(library.encode(t[:k])) for k in range(len(t) + 1)]
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count(docs, queries.vocabulary()).collect()}
+    assert got == {r.doc_id: (len(r.text.encode()), len(library.encode(r.text))) for r in docs.collect()}
+    for r in token_counts.truncate(docs.limit(20), queries.vocabulary(), 25).collect():
+        assert r.n_tokens == len(library.encode(r.text)) <= 25
+
+
+def brute_groups(ids, linked):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_bits_and_groups(docs):
+    import xxhash
+
+    rows = docs.collect()
+    fps = {}
+    for r in rows:
+        w = r.text.encode().lower().split()
+        sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+        fps[r.doc_id] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    ids = sorted(fps)
+    want = brute_groups(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
+    for limit in (256, 2):
+        got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.components(docs, cell_limit=limit).collect()}
+        assert got == {i: (fps[i], want[i]) for i in ids}
+
+
+def test_simhash_links_planted_distances(spark):
+    """Distances 0 to 4 around many centres, in small and in crowded cells."""
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(40):
+        c = rng.getrandbits(64)
+        for d in (0, 1, 2, 3, 4, 3, 2):
+            x = c
+            for b in rng.sample(range(64), d):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    want = brute_groups(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3])
+    frame = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in fps], "fp long")
+    for limit in (256, 1):
+        found = brute_groups(fps, [(r.u % 2**64, r.v % 2**64) for r in simhash.links(frame, limit).collect()])
+        assert found == want
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 8))
+    near = [base[i % 6] + rng.normal(size=8) * 0.05 for i in range(60)]
+    rows = [(i, v.tolist(), i % 3 if i % 7 else None) for i, v in enumerate([*base, *near])]
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, [None] * 8, 1), (204, [], 1), (205, [1.0, 2.0], 1), (300, rows[1][1], 1), (301, [2 * x for x in rows[1][1]], 1), (301, [2 * x for x in rows[1][1]], 1), (None, None, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    fair = [(k, i, np.array(v), lab) for k, (i, v, lab) in enumerate(rows) if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links = [(a[0], b[0]) for a in fair for b in fair if a[0] != b[0] and a[3] == b[3] and len(a[2]) == len(b[2]) and a[2] @ b[2] / math.sqrt((a[2] @ a[2]) * (b[2] @ b[2])) >= 0.98]
+    root, n = brute_groups(range(len(rows)), links), Counter(a for a, _ in links)
+    least = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            least[root[k]] = min(least.get(root[k], r[0]), r[0])
+    want = sorted(((r[0], n[k], least.get(root[k])) for k, r in enumerate(rows)), key=str)
+    for kw in ({}, {"cell_rows": 10, "chunk_rows": 4}):
+        assert sorted(((r.vec_id, r.n_links, r.component_id) for r in vector_dedup.near_duplicates(frame, **kw).collect()), key=str) == want
+    some = [(i, np.floor(1024 * np.array(v, float))) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    pad = [(i, np.concatenate([x, np.zeros(8 - len(x))])) for i, x in some]
+    top = sorted((i, r, j, int(s)) for i in {i for i, _ in pad if i % 100 == 0} for x in [next(x for k, x in pad if k == i)] for r, (s, j) in enumerate(sorted(((x @ y, j) for j, y in pad if j != i), key=lambda t: (-t[0], t[1]))[:10], 1))
+    for kw in ({}, {"pivots": 3, "rings": 5, "block_rows": 7, "first_rows": 11}):
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(frame, **kw).collect()) == top
+    none = frame.where("false")
+    assert topk.top_k(none).count() == 0 and vector_dedup.near_duplicates(none).count() == 0
+
+
+def test_language(docs, odd, empty):
+    net, langs = language.fit(docs, steps=80)
+    assert langs == sorted(langs) and set(langs) <= {"de", "en", "es", "fr"}
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in language.identify(docs, net, langs).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95 and all(0 <= r.score <= 1 for r in held)
+    got = {r.doc_id: r.lang_pred for r in language.identify(odd, net, langs).collect()}
+    assert got[0] == got[1] == got[2] == got[8] == got[11] == "und" and got[3] in langs
+    assert language.fit(empty) == (None, []) and language.identify(docs, None, []).where("lang_pred <> 'und'").count() == 0
+    assert language.keep(odd, net, langs, least=0.0).columns == odd.columns
+    assert len(language.label_positions(net, langs, "Thé ende")) == len("Thé ende".encode())
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(0)
+    net = language.Network(3, hidden=3, seed=1)
+    net.w = {k: w.astype(np.float64) for k, w in net.w.items()}
+    x, y, mask = rng.integers(0, 256, (6, 5)), rng.integers(0, 3, 5), (rng.random((6, 5)) > 0.2).astype(float)
+    _, g = net.gradients(x, y, mask)
+    for k in ("out", "bias", "rec_f", "rec_b", "in_f", "in_b"):
+        i = (int(x[2, 1]), 4) if k.startswith("in") else tuple(0 for _ in net.w[k].shape)
+        net.w[k][i] += 1e-4
+        up = net.gradients(x, y, mask)[0]
+        net.w[k][i] -= 2e-4
+        down = net.gradients(x, y, mask)[0]
+        net.w[k][i] += 1e-4
+        assert abs((up - down) / 2e-4 - g[k][i]) < 2e-3
+
+
+def test_language_model(docs, odd, empty):
+    for frame in (docs, odd):
+        rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b" "]) for r in frame.collect()]
+        c, pairs, n_docs = Counter(), Counter(), 0
+        for i, w in rows:
+            if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
+                c.update(w)
+                pairs.update(zip([None, *w[:-1]], w, strict=True))
+                n_docs += 1
+        N, V = sum(c.values()), len(c)
+        p = lambda w: (c[w] + 1) / (N + V + 1)
+        want = sorted((str(i), len(w), sum(c[x] > 0 for x in w), N, round(sum(math.log10(p(x)) for x in w), 6)) for i, w in rows)
+        own = sorted((str(i), sum(math.log10((pairs[h, x] + 50 * p(x)) / ((n_docs if h is None else c[h]) + 50)) for h, x in zip([None, *w[:-1]], w, strict=True)), len(w)) for i, w in rows)
+        for kw in ({}, {"shard_tokens": 500}):
+            got = language_model.score(frame, language_model.train(frame, **kw)).collect()
+            assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+            for (i, s, n), (j, t) in zip(own, sorted((str(r.doc_id), r.score) for r in got), strict=True):
+                assert i == j and abs(s - t) < 2e-4 * n
+    assert language_model.score(empty, language_model.train(empty)).count() == 0
+    assert {r.base_score for r in language_model.score(odd, language_model.train(empty)).collect()} == {0.0}
+
+
+def test_elias_fano(tmp_path):
+    rng = np.random.default_rng(2)
+    for values in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.arange(2000, dtype=np.uint64), np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64)), np.unique(np.concatenate([np.arange(300), 2**40 + np.arange(300)])).astype(np.uint64)):
+        elias_fano.save(str(tmp_path / f"f{len(values)}"), elias_fano.build(values, "x"))
+        s = elias_fano.Sequence(elias_fano.mapped(str(tmp_path / f"f{len(values)}")), "x")
+        assert (s.get(np.arange(len(values))) == values).all()
+        asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, 2**63, 100, dtype=np.uint64)])
+        where = {int(v): i for i, v in enumerate(values)}
+        assert s.find(asked).tolist() == [where.get(int(v), -1) for v in asked]
+
+
+def test_mixing(docs, odd, empty, spark):
+    for frame in (docs, odd):
+        rows = mixing.mix(frame).collect()
+        assert len(rows) == frame.count() and all(0 <= r.taken <= 3 * r.size for r in rows)
+        assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(frame.repartition(3)).collect()))
+    source = {r.doc_id: r.source for r in docs.collect()}
+    taken, aim = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        taken[source[r.doc_id]] += r.taken
+        aim[source[r.doc_id]] = r.target
+    assert all(abs(taken[s] - t) <= 0.02 * t + 64 for s, t in aim.items())
+    assert mixing.mix(empty).count() == 0
+    # One source far too small for its weight: its target stops at three times its size.
+    few = spark.createDataFrame([(i, "w " * 400, "a") for i in range(9)] + [(10, "w " * 30, "b")], "doc_id long, text string, source string")
+    assert {r.source_size: r.target for r in mixing.mix(few).collect()} == {30: 90.0, 3600: 3540.0}
+    quota = mixing.apportion(spark.createDataFrame([(i, float(v), 25) for i, v in enumerate((98, 61, 41, 7, 0))], "i int, v double, s long"), "v", "s", [], ["i"])
+    best = Counter(i for _, i in sorted(((-v / (2 * k + 1), i) for i, v in enumerate((98, 61, 41, 7)) for k in range(25)))[:25])
+    assert {r.i: r.quota for r in quota.collect()} == {i: best[i] for i in range(5)}
+
+
+def test_licenses(odd, docs):
+    got = {r.doc_id: [h.template for h in r.hits] for r in licenses.scan(odd).collect()}
+    assert got[0] == got[1] == [] and got[7] == ["MIT"]  # four words of five
+    plain = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    hits = {r.doc_id: {h.template for h in r.hits if h.coverage == 1} for r in licenses.scan(docs).collect()}
+    for r in docs.collect():
+        assert {k for k, v in plain.items() if v in r.text} <= hits[r.doc_id]
+    s = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    twice = "x " * 500 + "Released under the MIT License. Released under the MIT License. " + "y " * 500
+    assert s.scan(twice)[0][:3] == ("MIT", 1.0, 500)
+    assert s.scan("Released hereby under the MIT big License")[0][:2] == ("MIT", 1.0) and not s.scan("the MIT of license")
+    a, b = "p q r s t".split(), "q p r t s".split()
+    pairs = licenses.align(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and len(pairs) == 3
+
+
+def test_fixity(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", None if i == 5 else "<p>" + "x" * i) for i in range(300)] + [(7, "u", ""), (None, None, None)], "page_id long, url string, html string")
+    own = fixity.records(pages, 64)
+    assert fixity.audit(own, own, 4).count() == 0
+    broken = pages.replace("http://h/9", "http://h/8").replace("http://h/200", "http://h/201")
+    assert sorted(r.page_id for r in fixity.located(pages, broken, 64, 4).where("damaged").collect()) == [9, 200]
+    lost = fixity.audit(own, own.where("file <> 1"), 4).collect()
+    assert sorted((r.file, r["at"]) for r in lost) == [(1, i) for i in range(64)]
+    assert fixity.located(pages.where("false"), pages.where("false")).count() == 0
+    r = own.where("page_id = 3").first()
+    text = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/3\r\nContent-Length: 6\r\n\r\n<p>xxx\r\n\r\n"
+    assert r.length == len(text) and r.leaf == hashlib.sha256(f"{r.offset}:{r.length}:{hashlib.sha256(text.encode()).hexdigest()}".encode()).hexdigest()
