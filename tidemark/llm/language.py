@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import key60, pick, ship
+from .runtime import cut, key60, pick, ship
 
 WINDOW = 64
 
@@ -182,15 +182,18 @@ def pooled(net: Network, texts: list[bytes], classes: int, rows: int = 2048) ->
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
-def fit(docs: DataFrame, sample_docs: int = 1600, sample_chars: int = 512, fold: int = 2, folds: int = 4, **kw) -> tuple[Network | None, list[str]]:
+def fit(docs: DataFrame, sample_docs: int = 1600, sample_chars: int = 512, fold: int = 2, folds: int = 4, most_langs: int = 10000, **kw) -> tuple[Network | None, list[str]]:
     """A network and its languages, from rows whose crc32(doc_id as text) mod `folds` is not `fold`.
 
     Only `sample_docs` rows reach the driver, `sample_chars` characters of each.
-    Without labelled rows there is no network.
+    The counts of languages go to every task while there are `most_langs` or
+    fewer, and are joined by a shuffle beyond that. Without labelled rows there
+    is no network.
     """
     rows = pick(docs, doc_id="bigint", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds != fold, F.lit(False)))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    counts = F.broadcast(counts) if counts.limit(most_langs + 1).count() <= most_langs else counts
     even = key60(F.lit("sample"), F.col("doc_id")) / F.lit(float(1 << 60))
     start = F.lit(1) + key60(F.lit("start"), F.col("doc_id")) % F.greatest(F.lit(1), F.length("text") - sample_chars)
     # The i-th smallest of a language's n even numbers is about i / n, so even * n deals the languages in turn.
