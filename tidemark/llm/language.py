@@ -193,11 +193,14 @@ def fit(docs: DataFrame, sample_docs: int = 1600, sample_chars: int = 512, fold:
     rows = pick(docs, doc_id="bigint", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds != fold, F.lit(False)))
     counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
-    counts = F.broadcast(counts) if counts.limit(most_langs + 1).count() <= most_langs else counts
+    n_langs = counts.count()
+    counts = F.broadcast(counts) if n_langs <= most_langs else counts
     even = key60(F.lit("sample"), F.col("doc_id")) / F.lit(float(1 << 60))
     start = F.lit(1) + key60(F.lit("start"), F.col("doc_id")) % F.greatest(F.lit(1), F.length("text") - sample_chars)
     # The i-th smallest of a language's n even numbers is about i / n, so even * n deals the languages in turn.
     sample = rows.join(counts, "lang").select((even * F.col("_n")).alias("_turn"), "doc_id", "lang", F.col("text").substr(start.cast("int"), F.lit(sample_chars)).alias("text"))
+    # Only turns that the sample can reach leave the tasks, so what the driver gets doesn't grow with their number.
+    sample = sample.where(F.col("_turn") < 4.0 * sample_docs / max(1, n_langs) + 64)
     got = sample.orderBy("_turn", "doc_id", "text").limit(sample_docs).collect()
     langs = sorted({r.lang for r in got})
     if not langs:
