@@ -83,7 +83,7 @@ def process_closure(spark, sf_dir) -> DataFrame:
     return M.descendants(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), F.expr("c_custkey div 3").alias("ppid")), 5)
 
 
-@query("""SELECT round(sum(value) / 100 * 60, 6) AS gpu_seconds FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""")
+@query("""SELECT round(coalesce(sum(value), 0) / 100 * 60, 6) AS gpu_seconds FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)""")
 def gpu_seconds(spark, sf_dir) -> DataFrame:
     usage = table(spark, sf_dir, "events").select(F.col("user_id").alias("pid"), F.col("value").alias("sm"))
     return M.gpu_seconds(usage, table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("pid")), 60.0).select(F.round("gpu_seconds", 6).alias("gpu_seconds"))
