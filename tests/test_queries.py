@@ -34,6 +34,7 @@ def test_one_predicate_through_every_surface(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = registry.QUERIES["search_conditions_sorted"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_totalprice" in plan and "o_orderdate" not in plan
 

@@ -82,7 +82,7 @@ def connection_truth(spark, sf_dir) -> DataFrame:
     return c.select("c_custkey", truth.alias("connected"), C.reconciled(F.col("c_custkey") % 2 == 0, truth).alias("action"))
 
 
-@query("""SELECT c_custkey AS entry FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000)""")
+@query("""SELECT c_custkey AS entry FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000) AND EXISTS (SELECT 1 FROM supplier WHERE s_acctbal > 7000)""")
 def stale_entries(spark, sf_dir) -> DataFrame:
     entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry"), F.col("c_nationkey").alias("worker"))
     workers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("worker")).agg(F.bool_or(F.col("s_acctbal") > 7000).alias("live"))
