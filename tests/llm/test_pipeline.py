@@ -33,6 +33,21 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(library.encode(text[r.doc_id])) + 1 for r in fourth.collect()) and fourth.count() == sum(copies.values())
 
 
+def test_stages_take_any_columns_and_nulls(spark):
+    """Extra columns may be called like the stages' own; rows without an id are neither lost nor multiplied."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _id long, _copies string, _again boolean, _p0 int, cell int"
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, f"{words} number{i} " * (i + 1), "en", "a", 1, 5, "x", True, i, 0) for i in range(4)]
+    rows += [(None, f"plain text without an id {'again ' * 7}{k}", "en", "a", None, None, None, None, None, None) for k in "uvw"]
+    rows += [(9, None, None, None, None, None, None, None, None, None), (10, "", "en", None, 0, 1, "", False, 1, 1)]
+    docs = spark.createDataFrame(rows, kind)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows)
+    same_weights = mixing.mixed_documents(docs.union(docs.where("doc_id is null")), weights=(1,), cap=1)
+    assert Counter(r.text for r in same_weights.collect()) == Counter(r[1] for r in rows if r[1]) + Counter(r[1] for r in rows if r[0] is None)
+
+
 def test_run_and_empty(spark, tmp_path):
     whole = corpus_pipeline.run(spark, DATA)
     assert whole.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and whole.count() > 0

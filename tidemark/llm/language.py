@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, key60, pick, ship
+from .runtime import cut, key60, numbered, pick, ship
 
 WINDOW = 64
 
@@ -258,9 +258,9 @@ def keep(docs: DataFrame, net: Network | None, langs: list[str], least: float =
             for start, stop, lang, score, _ in _predict(pa.RecordBatch.from_arrays([batch.column(at), batch.column(len(names))], ["text", "_letter"]), net, langs):
                 yield plain.slice(start, stop - start).filter(pa.array([la != "und" and s >= least for la, s in zip(lang, score, strict=True)]))
 
-    numbered = docs.toDF(*[f"_p{i}" for i in range(len(names))])
-    lettered = numbered.withColumn("_letter", F.coalesce(F.col(f"_p{at}").rlike(r"\p{L}"), F.lit(False)))
-    return lettered.mapInArrow(run, numbered.schema).toDF(*names)
+    rows, (text,) = numbered(docs, "text")
+    lettered = rows.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return lettered.mapInArrow(run, rows.schema).toDF(*names)
 
 
 def label_positions(net: Network, langs: list[str], text: str) -> list[str]:

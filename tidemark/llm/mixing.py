@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import cut, key60, pick
+from .runtime import cut, key60, numbered, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -121,10 +121,19 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **kw) -> DataFrame:
     """The documents of the mix, with the columns of `docs`.
 
     A document comes as often as its taken words hold it whole; the fraction
-    left over is one more copy with that seeded chance. doc_id is unique here.
+    left over is one more copy with that seeded chance. Rows without a doc_id
+    are told apart by a hash of their text and source; rows of the
+    same id and size share evenly what they give. Extra columns may have any
+    names. Documents without words give nothing and go.
     """
-    copies = mix(docs, seed=seed, **kw).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
+    rows, (own, text, source) = numbered(docs, "doc_id", "text", "source")
+    known = F.coalesce(F.col(own).cast("long"), -1 - F.abs(F.xxhash64(text, source) % (1 << 62)))
+    rows = rows.withColumn("_id", known)
+    given = mix(rows.select(F.col("_id").alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")), seed=seed, **kw)
+    copies = given.where("size > 0").groupBy("doc_id", "size").agg(F.expr("sum(taken) div count(1)").alias("taken"))
     rest = (F.col("taken") % F.col("size")) / F.col("size")
     chance = (key60(F.lit(seed), F.lit("copy"), F.col("doc_id")) % 1000003) / F.lit(1000003)
-    copies = copies.select(F.col("doc_id").alias("_id"), (F.expr("taken div size") + (chance < rest).cast("long")).alias("_copies")).where("_copies > 0")
-    return docs.join(copies, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    copies = copies.select(F.col("doc_id").alias("_of"), F.col("size").alias("_size"), (F.expr("taken div size") + (chance < rest).cast("long")).alias("_copies")).where("_copies > 0")
+    sized = rows.withColumn("_words", words_in(F.col(text)))
+    kept = sized.join(copies, (F.col("_id") == F.col("_of")) & (F.col("_words") == F.col("_size")))
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[f"_p{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -41,6 +41,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"_p{names.index(name)}").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The table with columns _p0, _p1, ... and, for each name given, which of them it is.
+
+    Operators that hand whole rows on work on these and put the names back with
+    toDF, so no name of an extra column can clash with one of their own.
+    """
+    return df.toDF(*[f"_p{i}" for i in range(len(df.columns))]), [f"_p{df.columns.index(name)}" for name in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import cut, pick
+from .runtime import cut, numbered, pick
 
 SEED = 42
 RADIUS = 3
@@ -139,10 +139,12 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """The documents without those whose group has a smaller doc_id; columns as given.
 
     Rows without a doc_id stay. Of rows that repeat a doc_id, one stays.
+    Extra columns may have any names.
     """
     found = components(docs, **kw).groupBy("doc_id").agg(F.min("component_id").alias("_c"), F.count(F.lit(1)).alias("_n"))
     ruled = found.where("doc_id is not null and (doc_id <> _c or _n > 1)").select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("_c")).alias("_again"))
     ruled = cut(ruled)
-    once = docs.join(ruled, F.col("doc_id") == F.col("_id"), "left_anti")
-    again = docs.join(ruled.where("_again"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again)
+    rows, (own,) = numbered(docs, "doc_id")
+    once = rows.join(ruled, F.col(own) == F.col("_id"), "left_anti")
+    again = rows.join(ruled.where("_again"), F.col(own) == F.col("_id"), "left_semi").dropDuplicates([own])
+    return once.union(again).toDF(*docs.columns)
