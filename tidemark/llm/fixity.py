@@ -26,11 +26,13 @@ def records(pages: DataFrame, file_records: int = 256) -> DataFrame:
     """page_id, file, at (place in the file), offset, length, leaf.
 
     A file holds the pages of `file_records` neighbouring ids; rows without an
-    id share file -1. Rows that repeat an id lie beside each other, ordered by
-    their hashes.
+    id are spread by their hashes over 4,096 files of negative numbers, so that
+    no file gathers them all. Rows that repeat an id lie beside each other,
+    ordered by their hashes.
     """
     rows = pick(pages, page_id="bigint", url="string", html="string").select("page_id", record(F.col("url"), F.col("html")).alias("_text"))
-    rows = rows.select("page_id", F.coalesce(F.floor(F.col("page_id") / file_records), F.lit(-1)).cast("long").alias("file"), F.octet_length("_text").cast("long").alias("length"), F.sha2("_text", 256).alias("_sha"))
+    rows = rows.select("page_id", F.octet_length("_text").cast("long").alias("length"), F.sha2("_text", 256).alias("_sha"))
+    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / file_records), -1 - F.pmod(F.xxhash64("_sha"), F.lit(4096))).cast("long"))
     order = Window.partitionBy("file").orderBy("page_id", "_sha")
     rows = rows.withColumn("at", F.row_number().over(order) - 1).withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"))
     return rows.select("page_id", "file", F.col("at").cast("long").alias("at"), "offset", "length", F.sha2(F.concat_ws(":", F.col("offset"), F.col("length"), F.col("_sha")), 256).alias("leaf"))
