@@ -97,13 +97,13 @@ def residency_invalidate(spark, sf_dir) -> DataFrame:
     return replay.for_residency(log(spark, sf_dir), "p1").select("seq", "type")
 
 
-@query(f"""WITH l AS ({LOG}), o AS (SELECT min(coalesce(local_time, version)) AS oldest FROM l WHERE event_id >= 100)
-           SELECT node, max(local_time) FILTER (WHERE event_id < 150) AS start, max(local_time) FILTER (WHERE event_id < 150) > 0 AND max(local_time) FILTER (WHERE event_id < 150) < greatest(any_value(oldest), 1490) AS full_copy FROM l, o GROUP BY 1""")
+@query(f"""WITH l AS ({LOG}), o AS (SELECT min(coalesce(local_time, version)) FILTER (WHERE type <> 'put') AS oldest, max(local_time) / 64 AS cutoff FROM l),
+           c AS (SELECT id AS node, min(local_time) AS start FROM l GROUP BY 1) SELECT node, start, start > 0 AND start < greatest(oldest, cutoff) AS full_copy FROM c, o""")
 def retention_fallback(spark, sf_dir) -> DataFrame:
     rows = log(spark, sf_dir)
-    oldest = replay.oldest_retained(rows.where("event_id >= 100"))
-    cursors = rows.where("event_id < 150").groupBy("node").agg(F.max("local_time").alias("start"))
-    return cursors.join(F.broadcast(oldest)).select("node", "start", replay.too_old(F.col("start"), F.col("oldest"), F.lit(1490.0)).alias("full_copy"))
+    oldest = replay.oldest_retained(rows.where("type <> 'put'")).join(rows.agg((F.max("local_time") / 64).alias("cutoff")))  # one row each
+    cursors = rows.groupBy(F.col("id").alias("node")).agg(F.min("local_time").alias("start"))
+    return cursors.join(F.broadcast(oldest)).select("node", "start", replay.too_old(F.col("start"), F.col("oldest"), F.col("cutoff")).alias("full_copy"))
 
 
 @query(f"""WITH l AS ({LOG}), m AS (SELECT *, floor(version / 600) AS v FROM l), n AS (SELECT *, CASE WHEN lag(v) OVER w IS NULL OR lag(v) OVER w <> v THEN 1 ELSE 0 END AS new FROM m WINDOW w AS (PARTITION BY node ORDER BY seq))
@@ -125,9 +125,10 @@ def monotone_watermark(spark, sf_dir) -> DataFrame:
     return replay.monotone_watermark(rows, "node", "value").select("seq", "high")
 
 
-@query("""SELECT node, CASE WHEN s = 1 THEN 0 ELSE s END AS start FROM (SELECT 'n' || (event_id % 3) AS node, greatest(max(event_id) FILTER (WHERE event_id < 50), 40.0)::DOUBLE AS s FROM events GROUP BY 1)""")
+@query("""SELECT node, CASE WHEN s = 1 THEN 0 ELSE s END AS start FROM (SELECT user_id::VARCHAR AS node, greatest(coalesce(max(event_id) FILTER (WHERE event_type = 'click'), 0)::DOUBLE, 40.0::DOUBLE, coalesce(max(event_id) FILTER (WHERE event_type = 'view'), 0)::DOUBLE) AS s FROM events GROUP BY 1)""")
 def origin_starts(spark, sf_dir) -> DataFrame:
-    cursors = log(spark, sf_dir).where("event_id < 50").groupBy("node").agg(F.max("seq").cast("double").alias("seq_id"), F.lit(None).cast("double").alias("last_txn"))
+    of = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("seq"))).cast("double")
+    cursors = log(spark, sf_dir).groupBy(F.col("id").alias("node")).agg(of("click").alias("seq_id"), of("view").alias("last_txn"))
     return replay.starts(cursors, 40.0)
 
 
@@ -145,9 +146,9 @@ def expiration(spark, sf_dir) -> DataFrame:
     return changelog.unexpired(rows, 100000.0).select("id", "seq")
 
 
-@query("""SELECT c_custkey, c_nationkey, NULL::VARCHAR AS c_name, 'invalidate' AS type FROM customer WHERE c_custkey % 10 = 0""")
+@query("""SELECT c_custkey, c_nationkey, NULL::VARCHAR AS c_name, 'invalidate' AS type FROM customer""")
 def invalidate_projection(spark, sf_dir) -> DataFrame:
-    return changelog.invalidated(table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select("c_custkey", "c_nationkey", "c_name"), "c_custkey", ["c_nationkey"])
+    return changelog.invalidated(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name"), "c_custkey", ["c_nationkey"])
 
 
 @query("""SELECT e.event_id, o.event_id AS asof_event_id FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'signup') o ON e.user_id = o.user_id AND e.ts >= o.ts WHERE e.event_type = 'purchase'""")

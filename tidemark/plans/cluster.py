@@ -124,10 +124,10 @@ def self_record_fold(spark, sf_dir) -> DataFrame:
     return C.fold_self(rows).select("node", "directional", F.array_join("sends_to", ",").alias("sends_to"))
 
 
-@query("""WITH s AS (SELECT event_type AS db, min(event_id // 1000) AS f FROM events WHERE user_id % 50 = 0 GROUP BY 1), p AS (SELECT DISTINCT event_id // 1000 AS poll FROM events WHERE user_id % 50 = 0)
+@query("""WITH s AS (SELECT event_type AS db, min(event_id // 1000) AS f FROM events GROUP BY 1), p AS (SELECT DISTINCT event_id // 1000 AS poll FROM events)
           SELECT poll, db FROM p JOIN s ON poll >= f UNION SELECT poll, 'base' FROM p""")
 def required_ratchet(spark, sf_dir) -> DataFrame:
-    seen = table(spark, sf_dir, "events").where("user_id % 50 = 0").select(F.expr("event_id div 1000").alias("poll"), F.col("event_type").alias("db"))
+    seen = table(spark, sf_dir, "events").select(F.expr("event_id div 1000").alias("poll"), F.col("event_type").alias("db"))
     return C.required_ratchet(spark.createDataFrame([("base",)], "db string"), seen)
 
 
