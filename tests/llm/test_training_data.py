@@ -264,3 +264,13 @@ def test_fixity(spark):
     r = own.where("page_id = 3").first()
     text = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/3\r\nContent-Length: 6\r\n\r\n<p>xxx\r\n\r\n"
     assert r.length == len(text) and r.leaf == hashlib.sha256(f"{r.offset}:{r.length}:{hashlib.sha256(text.encode()).hexdigest()}".encode()).hexdigest()
+
+
+def test_forgotten_words_change_no_result():
+    small, large = pieces.Pieces(queries.vocabulary(), keep_words=8), pieces.Pieces(queries.vocabulary())
+    texts = [f"alpha beta w{i % 7} x{i} {'long' * (i % 5)}" for i in range(60)] + ["", " ", "alpha"]
+    for t in texts:
+        assert small.encode_batch([t]) == large.encode_batch([t]) == [" ".join(map(str, large.library.encode(t, add_eos=True)))]
+        words = large.split(large.marked(t))
+        assert small.count_words(words) == large.count_words(words)
+    assert len(small.encoded) + len(small.encoded_before) < 40

@@ -4,7 +4,9 @@ The vocabulary file is read with the sentencepiece library; what is done with
 it is this module's own. No piece of the vocabularies taken here holds a space
 mark behind another character, so no merge crosses a word's start and a text
 is the concatenation of its words. Words repeat, so every worker keeps what it
-found for a word; `keep_words` bounds that memory and changes no result.
+found for a word, in two generations: when the young one is full it becomes the
+old one, and a word met again moves over. `keep_words` bounds both together and
+changes no result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ NEVER = float("inf")
 class Pieces:
     """One vocabulary, loaded once a worker."""
 
-    def __init__(self, path: str, keep_words: int = 900_000):
+    def __init__(self, path: str, keep_words: int = 300_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -44,7 +46,9 @@ class Pieces:
         self.tails = {p[k:]: -1 for p in firm for k in range(1, len(p))} | firm
         self.stranger = n  # stands for a character outside the vocabulary
         self.encoded: dict[str, str] = {}
+        self.encoded_before: dict[str, str] = {}
         self.counted: dict[str, tuple[int, ...]] = {}
+        self.counted_before: dict[str, tuple[int, ...]] = {}
         self.fits: dict[int, bool] = {}
 
     def marked(self, text: str) -> str:
@@ -129,10 +133,12 @@ class Pieces:
     def encode_batch(self, texts: list[str], check: bool = True) -> list[str]:
         """Ids of each text, joined by one space, with the end id."""
         split = [self.split(self.marked(t)) for t in texts]
-        if len(self.encoded) > self.keep_words:
-            self.encoded.clear()
-        known = self.encoded
-        self.learn({w for words in split for w in words if w not in known}, check)
+        if len(self.encoded) > self.keep_words // 2:
+            self.encoded_before, self.encoded = self.encoded, {}
+        known, before = self.encoded, self.encoded_before
+        missing = {w for words in split for w in words if w not in known}
+        known.update({w: before[w] for w in missing if w in before})
+        self.learn(missing, check)
         return [f"{''.join(map(known.__getitem__, words))} {END}"[1:] for words in split]
 
     def decode(self, ids: str) -> str:
@@ -186,12 +192,12 @@ class Pieces:
 
     def count_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Prefix counts of each word."""
-        known = self.counted
-        if len(known) > self.keep_words:
-            known.clear()
+        if len(self.counted) > self.keep_words // 2:
+            self.counted_before, self.counted = self.counted, {}
+        known, before = self.counted, self.counted_before
         for w in words:
             if w not in known:
-                known[w] = self.prefix_counts(w)
+                known[w] = before.get(w) or self.prefix_counts(w)
         return [known[w] for w in words]
 
 
@@ -201,7 +207,7 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def slices(batch, column: str = "text", most: int = 4 << 20):
+def slices(batch, column: str = "text", most: int = 1 << 20):
     """(start, stop, texts) over an Arrow batch; each slice holds about `most` bytes of text at most, or one text."""
     texts = batch.column(column).to_pylist()
     start, held = 0, 0
