@@ -115,6 +115,15 @@ def altered(existing: DataFrame, request: dict, key: str, allowed: list[str]) ->
     return existing.select(*[F.when(hit, F.lit(request[c]).cast(existing.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in allowed and c in request and c != key else F.col(c) for c in existing.columns])
 
 
+def edited(records: DataFrame, fields: dict[str, Column], items: dict[str, Column]) -> DataFrame:
+    """Records with fields inside structures set (`struct.field` by its new value) and items put at the end of lists."""
+    changed = {}
+    for path, value in fields.items():
+        name, inner = path.split(".", 1)
+        changed[name] = changed.get(name, F.col(name)).withField(inner, value)
+    return records.withColumns({**changed, **{c: F.array_append(F.coalesce(F.col(c), F.array().cast(records.schema[c].dataType)), v) for c, v in items.items()}})
+
+
 def deletes(existing: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return existing.join(ids.select(key), key, "left_anti")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import changelog
+
 LOCAL_ONLY = 1
 
 
@@ -124,3 +126,19 @@ def repair_counts(outcomes: DataFrame) -> DataFrame:
 def permanent_blob_error(code: Column, status: Column) -> Column:
     """Errors that won't go away: a missing file, 404 or 500; 503 may."""
     return F.coalesce(code == "ENOENT", F.lit(False)) | F.coalesce(status.isin(404, 500), F.lit(False))
+
+
+def translated(changes: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
+    """Changes with what their short number stands for; unknown numbers stand for null."""
+    return changes.join(dictionary, key, "left").drop(key)
+
+
+def excluding(changes: DataFrame, switches: DataFrame) -> DataFrame:
+    """Changes (node, seq) whose node isn't switched off by the last of (node, seq, excluded) at or before them."""
+    known = changelog.nearest(changes, switches, "node", "seq", ["excluded"])
+    return known.where(~F.coalesce("asof_excluded", F.lit(False))).drop("asof_excluded")
+
+
+def resume_points(subscriptions: DataFrame, by: str) -> DataFrame:
+    """Where to start again: the earliest start, and the cursor with the latest time."""
+    return subscriptions.groupBy(by).agg(F.min("start").alias("start"), F.max_by("cursor", "time").alias("cursor"))

@@ -6,8 +6,8 @@ routes) is derived from its columns, so the work grows with the table.
 
 from __future__ import annotations
 
-from . import changes, cluster, documents, metrics, requests
+from . import changes, cluster, documents, metrics, records, requests
 
-_PARTS = (documents, changes, requests, metrics, cluster)
+_PARTS = (documents, changes, requests, metrics, cluster, records)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
