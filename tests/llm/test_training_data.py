@@ -252,6 +252,19 @@ def test_licenses(odd, docs):
     assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and len(pairs) == 3
 
 
+def test_licenses_at_every_offset():
+    s = licenses.Scanner({"GPL-3.0": licenses.TEMPLATES["GPL-3.0"], "MIT": "Released under the MIT License."}, 0.8)
+    for notice, name, length in (
+        ("This work is licensed under the one two three four five six GNU General Public License version 3", "GPL-3.0", 18),
+        ("This a b c work a b c is a b c licensed a b c under a b c the a b c GNU a b c General a b c Public a b c License a b c version a b c 3", "GPL-3.0", 45),
+        ("Released a b c d under a b c d the a b c d MIT a b c d License", "MIT", 21),
+    ):
+        for k in range(60):
+            got = [h for h in s.scan("filler " * k + notice + " filler" * 9) if h[0] == name]
+            assert got == [(name, 1.0, k, k + length - 1)]
+    assert s.scan("license the Released under the MIT License. Released under the MIT License. the")[0] == ("MIT", 1.0, 2, 6)
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", None if i == 5 else "<p>" + "x" * i) for i in range(300)] + [(7, "u", ""), (None, None, None)], "page_id long, url string, html string")
     own = fixity.records(pages, 64)

@@ -5,9 +5,10 @@ both are anchors; their longest increasing run of positions splits both sides
 into gaps, which are aligned in the same way, equal words at a gap's two ends
 first. Coverage is the share of the template's words that are aligned.
 
-A whole text is scanned: every stretch in which a template's words are dense
-enough to reach the threshold is aligned, in windows of twice the template's
-length that overlap by half, so long texts and repeated notices do no harm.
+A whole text is scanned: stretches start and end at words of a template, found
+as its longest chains of rising words in which no two neighbours lie more than
+twice the template's length apart, and are aligned then. So neither the place of
+a notice nor repeated notices nor words put into it change what is found.
 Rows stay where they are: no shuffle.
 """
 
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -85,28 +88,61 @@ class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
         self.templates = {name: words(t) for name, t in sorted(templates.items()) if words(t)}
-        self.any = {w for t in self.templates.values() for w in t}
+        self.counts = {name: Counter(t) for name, t in self.templates.items()}
+        self.places = {name: {w: np.array([j for j, x in enumerate(t) if x == w]) for w in t} for name, t in self.templates.items()}
+
+    def reaches(self, name: str, there: Counter) -> bool:
+        """Whether these words are enough for the threshold, in any order."""
+        return sum(min(k, there[w]) for w, k in self.counts[name].items()) >= self.least * len(self.templates[name])
+
+    def chains(self, name: str, tokens: list[str]) -> list[tuple[int, int, int]]:
+        """(words in the chain, first, last) of the best chains that reach the threshold and don't overlap, best first.
+
+        Values are a chain's words times 2^40 plus its start, so of equally
+        long chains the tightest wins. Row p mod `far` of `held` has the best
+        values that end at text position p, up to each place in the template.
+        """
+        n, places = len(self.templates[name]), self.places[name]
+        far, one, need = 2 * n, 1 << 40, self.least * n
+        here = [i for i, w in enumerate(tokens) if w in places]
+        cuts = [0, *(k for k in range(1, len(here)) if here[k] - here[k - 1] > far), len(here)]
+        found: dict[int, tuple[int, int]] = {}
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a < need or not self.reaches(name, Counter(tokens[i] for i in here[a:b])):
+                continue
+            held, at = np.zeros((far, n + 1), np.int64), here[a] - 1
+            for i in here[a:b]:
+                for p in range(at + 1, i):
+                    held[p % far] = 0
+                js, at = places[tokens[i]], i
+                before = held.max(0)[js]
+                ends = np.where(before > 0, before, i) + one
+                row = held[i % far]
+                row[:] = 0
+                row[js + 1] = ends
+                np.maximum.accumulate(row, out=row)
+                size, start = divmod(int(row[-1]), one)
+                if size >= need and size > found.get(start, (0, 0))[0]:
+                    found[start] = (size, i)
+        best: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+        for size, start, end in sorted(((size, start, end) for start, (size, end) in found.items()), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+            k = bisect_left(taken, (start, -1))
+            if (k == len(taken) or taken[k][0] > end) and (k == 0 or taken[k - 1][1] < start):
+                taken.insert(k, (start, end))
+                best.append((size, start, end))
+        return best
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, last word) of the best window of each template that reaches the threshold."""
+        """(template, coverage, first word, last word) of the best stretch of each template that reaches the threshold."""
         tokens = words(text)
-        spots = [i for i, w in enumerate(tokens) if w in self.any]
-        found = []
+        there, found = Counter(tokens), []
         for name, template in self.templates.items():
-            n, need, own = len(template), self.least * len(template), set(template)
-            here = [i for i in spots if tokens[i] in own]
-            if len(here) < need:
+            if not self.reaches(name, there):
                 continue
-            best = None
-            for start in sorted({max(0, (i // n + k) * n) for i in here for k in (-1, 0)}):
-                lo, hi = bisect_left(here, start), bisect_left(here, start + 2 * n)
-                if hi - lo < need:
-                    continue
-                pairs = align(tokens[start : start + 2 * n], template)
-                if pairs and len(pairs) >= need and (best is None or len(pairs) / n > best[0]):
-                    best = (len(pairs) / n, start + pairs[0][0], start + pairs[-1][0])
-            if best:
-                found.append((name, *best))
+            hits = [(max(size, len(align(tokens[a : b + 1], template))) / len(template), a, b) for size, a, b in self.chains(name, tokens)]
+            if hits:
+                found.append((name, *min(hits, key=lambda h: (-h[0], h[1]))))
         return found
 
 
@@ -114,7 +150,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     """doc_id, hits (template, coverage, first_word, last_word) for every row.
 
     A null or empty text has no hits; each template is reported once, at its
-    best window, the first of equals. Hits are in order of template names.
+    best stretch, the first of equals. Hits are in order of template names.
     """
     held = dict(templates or TEMPLATES)
 
