@@ -265,6 +265,36 @@ def test_licenses_at_every_offset():
     assert s.scan("license the Released under the MIT License. Released under the MIT License. the")[0] == ("MIT", 1.0, 2, 6)
 
 
+def test_licenses_are_told_apart(docs):
+    s = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    plain = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    found = {r.doc_id: [h.template for h in r.hits] for r in licenses.scan(docs).collect()}
+    assert all(found[r.doc_id] == sorted(k for k, v in plain.items() if v in r.text) for r in docs.collect()) and any(found.values())
+    for text, want in {
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0"],
+        "Licensed under CC BY NC 4.0.": ["CC-BY-NC-4.0"],
+        "Licensed under CC BY-NC-ND 3.0.": ["CC-BY-NC-ND-3.0"],
+        "Licensed under CC BY-XX 4.0.": [],
+        "Licensed under CC BY-SA 3.0 and CC BY 4.0.": ["CC-BY-4.0", "CC-BY-SA-3.0"],
+        "Licensed under CC BY 4.0. " + "x " * 50 + "Licensed under CC BY-NC 4.0.": ["CC-BY-4.0", "CC-BY-NC-4.0"],
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": ["CC-BY-4.0"],
+        "See https://creativecommons.org/licenses/by-sa/4.0/": ["CC-BY-SA-4.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU General Public License, version 2, clause 3.": ["GPL-2.0"],
+        "Dual licensed under the MIT License or the Apache License, Version 2.0": ["Apache-2.0", "MIT"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "The licensed press is under the old bridge by the river.": [],
+    }.items():
+        assert [h[0] for h in s.scan(text)] == want, text
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            assert [h[:2] for h in s.scan("Some words before. " + t.replace("{", "").replace("}", "") + " Some after.")] == [(name, 1.0)], t
+            cut = licenses.words(t)
+            if len(cut) > 100:
+                assert [h[0] for h in s.scan(" ".join(w for k, w in enumerate(cut) if k % 12 or w in ("endorse", "promote", "appear", "copies", "apache", "2.0")))] == [name]
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", None if i == 5 else "<p>" + "x" * i) for i in range(300)] + [(7, "u", ""), (None, None, None)], "page_id long, url string, html string")
     own = fixity.records(pages, 64)

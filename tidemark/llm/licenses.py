@@ -9,6 +9,9 @@ A whole text is scanned: stretches start and end at words of a template, found
 as its longest chains of rising words in which no two neighbours lie more than
 twice the template's length apart, and are aligned then. So neither the place of
 a notice nor repeated notices nor words put into it change what is found.
+Words that tell a license apart, in braces in its template, must be aligned,
+and of templates that align with the same such words the one with the most of
+them is reported, of equals the best covered.
 Rows stay where they are: no shuffle.
 """
 
@@ -22,18 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .license_texts import TEMPLATES
 from .runtime import pick
 
-# Short notices by which works state their license.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-}
-
 WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -84,31 +78,55 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-class Scanner:
-    def __init__(self, templates: dict[str, str], least: float):
-        self.least = least
-        self.templates = {name: words(t) for name, t in sorted(templates.items()) if words(t)}
-        self.counts = {name: Counter(t) for name, t in self.templates.items()}
-        self.places = {name: {w: np.array([j for j, x in enumerate(t) if x == w]) for w in t} for name, t in self.templates.items()}
-
-    def reaches(self, name: str, there: Counter) -> bool:
+def longest(a: list[str], b: list[str], weight: list[int]) -> list[tuple[int, int]]:
+    """Aligned positions of the greatest total weight (of b's words), rising on both sides."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + weight[j] if a[i] == b[j] else 0)
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + weight[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i + 1][j]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+class Template:
+    def __init__(self, name: str, text: str, least: float):
+        self.name, self.words = name, words(text)
+        self.need = least * len(self.words)
+        self.counts = Counter(self.words)
+        self.places = {w: np.array([j for j, x in enumerate(self.words) if x == w]) for w in self.counts}
+        parts = re.split(r"[{}]", text)
+        ends = np.cumsum([len(words(p)) for p in parts]).tolist()
+        self.telling = {j for k in range(1, len(parts), 2) for j in range(ends[k - 1], ends[k])}
+        self.must = frozenset(self.words[j] for j in self.telling)
+        #: A telling word outweighs all others together.
+        self.weight = np.array([1 + (len(self.words) + 1) * (j in self.telling) for j in range(len(self.words))])
+
+    def reaches(self, there: Counter) -> bool:
         """Whether these words are enough for the threshold, in any order."""
-        return sum(min(k, there[w]) for w, k in self.counts[name].items()) >= self.least * len(self.templates[name])
+        return self.must <= there.keys() and sum(min(k, there[w]) for w, k in self.counts.items()) >= self.need
 
-    def chains(self, name: str, tokens: list[str]) -> list[tuple[int, int, int]]:
+    def chains(self, tokens: list[str]) -> list[tuple[int, int, int]]:
         """(words in the chain, first, last) of the best chains that reach the threshold and don't overlap, best first.
 
-        Values are a chain's words times 2^40 plus its start, so of equally
-        long chains the tightest wins. Row p mod `far` of `held` has the best
+        Values are a chain's weight times 2^40 plus its start, so of equally
+        good chains the tightest wins. Row p mod `far` of `held` has the best
         values that end at text position p, up to each place in the template.
         """
-        n, places = len(self.templates[name]), self.places[name]
-        far, one, need = 2 * n, 1 << 40, self.least * n
+        n, places = len(self.words), self.places
+        far, one = 2 * n, 1 << 40
         here = [i for i, w in enumerate(tokens) if w in places]
         cuts = [0, *(k for k in range(1, len(here)) if here[k] - here[k - 1] > far), len(here)]
         found: dict[int, tuple[int, int]] = {}
         for a, b in zip(cuts, cuts[1:]):
-            if b - a < need or not self.reaches(name, Counter(tokens[i] for i in here[a:b])):
+            if b - a < self.need or not self.reaches(Counter(tokens[i] for i in here[a:b])):
                 continue
             held, at = np.zeros((far, n + 1), np.int64), here[a] - 1
             for i in here[a:b]:
@@ -116,13 +134,14 @@ class Scanner:
                     held[p % far] = 0
                 js, at = places[tokens[i]], i
                 before = held.max(0)[js]
-                ends = np.where(before > 0, before, i) + one
+                ends = np.where(before > 0, before, i) + one * self.weight[js]
                 row = held[i % far]
                 row[:] = 0
                 row[js + 1] = ends
                 np.maximum.accumulate(row, out=row)
-                size, start = divmod(int(row[-1]), one)
-                if size >= need and size > found.get(start, (0, 0))[0]:
+                total, start = divmod(int(row[-1]), one)
+                told, size = divmod(total, n + 1)
+                if told == len(self.telling) and size >= self.need and size > found.get(start, (0, 0))[0]:
                     found[start] = (size, i)
         best: list[tuple[int, int, int]] = []
         taken: list[tuple[int, int]] = []
@@ -133,23 +152,46 @@ class Scanner:
                 best.append((size, start, end))
         return best
 
+    def hits(self, tokens: list[str]):
+        """(coverage, first, last, telling words, positions aligned, those of the telling words or, without such, all) of each stretch."""
+        for size, a, b in self.chains(tokens):
+            part = tokens[a : b + 1]
+            pairs = align(part, self.words)
+            if len(pairs) < size or not self.telling <= {j for _, j in pairs}:
+                pairs = longest(part, self.words, self.weight.tolist())
+            yield len(pairs) / len(self.words), a, b, len(self.telling), {a + i for i, _ in pairs}, {a + i for i, j in pairs if j in self.telling or not self.telling}
+
+
+class Scanner:
+    def __init__(self, templates: dict[str, str | tuple[str, ...]], least: float):
+        self.templates = [Template(name, t, least) for name, texts in sorted(templates.items()) for t in ([texts] if isinstance(texts, str) else texts) if words(t)]
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, last word) of the best stretch of each template that reaches the threshold."""
+        """(template, coverage, first word, last word) of the best stretch of each name that reaches the threshold.
+
+        A hit goes if those of other names with more telling words, or with as
+        many and a better coverage, hold half of its telling words or more.
+        """
         tokens = words(text)
-        there, found = Counter(tokens), []
-        for name, template in self.templates.items():
-            if not self.reaches(name, there):
+        there = Counter(tokens)
+        hits = [(t.name, *h) for t in self.templates if t.reaches(there) for h in t.hits(tokens)]
+        hits.sort(key=lambda h: (-h[1], -len(h[5]), h[3] - h[2], h[2], h[0]))
+        claims: dict[int, set[str]] = {}
+        found: dict[str, tuple[str, float, int, int]] = {}
+        for name, coverage, a, b, _, aligned, own in sorted(hits, key=lambda h: -h[4]):
+            if 2 * sum(bool(claims.get(i, set()) - {name}) for i in own) >= len(own):
                 continue
-            hits = [(max(size, len(align(tokens[a : b + 1], template))) / len(template), a, b) for size, a, b in self.chains(name, tokens)]
-            if hits:
-                found.append((name, *min(hits, key=lambda h: (-h[0], h[1]))))
-        return found
+            for i in aligned:
+                claims.setdefault(i, set()).add(name)
+            if name not in found or coverage > found[name][1]:
+                found[name] = (name, coverage, a, b)
+        return [found[name] for name in sorted(found)]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, hits (template, coverage, first_word, last_word) for every row.
 
-    A null or empty text has no hits; each template is reported once, at its
+    A null or empty text has no hits; each license is reported once, at its
     best stretch, the first of equals. Hits are in order of template names.
     """
     held = dict(templates or TEMPLATES)
