@@ -126,3 +126,24 @@ def test_empty_cluster_tables(spark):
     assert [tuple(r) for r in cluster.failover(down).collect()] == [("a", None)]
     entries = spark.createDataFrame([("w",)], "worker string")
     assert cluster.stale(entries, spark.createDataFrame([("w", False)], "worker string, live boolean")).count() == 0
+
+
+def test_drained_rows_stay_out_of_the_driver(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    src, at = str(tmp_path / "src"), str(tmp_path / "c")
+    part = lambda a, b: spark.createDataFrame([(i % 3, i) for i in range(a, b)], "k int, v long").repartition(3).write.mode("append").parquet(src)
+    part(0, 30)
+    stream = lambda: spark.readStream.schema("k int, v long").option("maxFilesPerTrigger", 1).parquet(src)
+    rows = streams.drain(stream(), "rows", checkpoint=at)
+    assert rows.inputFiles() and all("-rows/" in f for f in rows.inputFiles())
+    assert sorted(r.v for r in rows.collect()) == list(range(30))
+    part(30, 40)
+    assert sorted(r.v for r in streams.drain(stream(), "rows", checkpoint=at).collect()) == list(range(40))
+    totals = streams.drain(stream().groupBy("k").agg(F.sum("v").alias("total")), "totals", "complete")
+    assert totals.inputFiles() and {r.k: r.total for r in totals.collect()} == {k: sum(range(k, 40, 3)) for k in range(3)}
+    steps = streams.drain(stream().groupBy("k").agg(F.sum("v").alias("total")), "steps", "update").collect()
+    assert {k: max(r.total for r in steps if r.k == k) for k in range(3)} == {k: sum(range(k, 40, 3)) for k in range(3)}
+    (tmp_path / "none").mkdir()
+    none = spark.readStream.schema("k int").parquet(str(tmp_path / "none"))
+    assert [streams.drain(d, "nothing", m).count() for d, m in ((none, "append"), (none.groupBy("k").count(), "complete"))] == [0, 0]

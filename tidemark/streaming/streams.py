@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,14 +69,41 @@ def merge_into(path: str, key: str = "id"):
     return run
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new folder name inside the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where the session names none, as in tests on one machine, a temporary folder is set for this session.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+    return f"{(named or sc.getCheckpointDir()).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and gives its rows."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there and gives its rows.
+
+    The rows go to files beside the checkpoint, both in the shared folder if no
+    checkpoint is given, and are read from there; none pass the driver. With
+    the checkpoint of an earlier call a stream goes on and gives all its rows.
+    """
+    spark = stream.sparkSession
+    checkpoint = checkpoint or f"{shared_path(spark, name)}/checkpoint"
+    out = f"{checkpoint.rstrip('/')}-rows"
+    writer = stream.writeStream.outputMode(mode).queryName(name).trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    nothing = spark.createDataFrame([], stream.schema).write.mode("ignore")
+    if mode == "append":
+        nothing.parquet(out)
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/_written={0 if mode == 'complete' else epoch}")
+
+    nothing.parquet(f"{out}/_written=-1")
+    writer.foreachBatch(run).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 RATE_SCHEMA = "key string, time_ms long, allowed boolean, suppressed long"
