@@ -309,6 +309,28 @@ def test_fixity(spark):
     assert r.length == len(text) and r.leaf == hashlib.sha256(f"{r.offset}:{r.length}:{hashlib.sha256(text.encode()).hexdigest()}".encode()).hexdigest()
 
 
+def test_fixity_of_lost_gained_and_moved_records(spark):
+    kind = "page_id long, url string, html string"
+    rows = [(i, f"http://h/{i}", "x" * i) for i in range(200)] + [(None, "u", f"n{i}") for i in range(9)] + [(7, "v", "")]
+    at = {r[0]: k for k, r in enumerate(rows[:200])}
+    new = [*rows[:200], *rows[200:]]
+    new[at[20]] = (20, "http://h/20", "longer" * 9)
+    new = [r for r in new if r[0] != 130 and r != (None, "u", "n3")] + [(160, "again", ""), (1000, "w", "in a new file"), (None, "u", "n-new")]
+    pages, replica = spark.createDataFrame(rows, kind), spark.createDataFrame(new, kind)
+    for fan in (4, 16):
+        found = fixity.located(pages, replica, 64, fan).collect()
+        assert all(r.damaged == (r.status != "same") for r in found) and len(found) == len(rows) + 3
+        ids = lambda status: sorted(r.page_id for r in found if r.status == status and r.page_id is not None)
+        assert ids("lost") == [130] and ids("changed") == [20] or ids("changed") == [20, 160]
+        assert ids("gained") == [160, 1000] and set(ids("moved")) >= {*range(21, 64), *range(131, 160), *range(161, 192)}
+        assert ids("same") == sorted([*range(20), 7, *range(64, 130), *range(192, 200)])
+        null = Counter(r.status for r in found if r.page_id is None)
+        assert null["lost"] == null["gained"] == 1 and sum(null.values()) == 10
+    swapped = fixity.located(replica, pages, 64).collect()
+    assert sorted(r.page_id for r in swapped if r.status == "gained" and r.page_id) == [130]
+    assert {r.status for r in fixity.located(pages.where("false"), pages, 64).collect()} == {"gained"}
+
+
 def test_forgotten_words_change_no_result():
     small, large = pieces.Pieces(queries.vocabulary(), keep_words=8), pieces.Pieces(queries.vocabulary())
     texts = [f"alpha beta w{i % 7} x{i} {'long' * (i % 5)}" for i in range(60)] + ["", " ", "alpha"]

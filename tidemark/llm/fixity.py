@@ -23,7 +23,7 @@ def record(url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame, file_records: int = 256) -> DataFrame:
-    """page_id, file, at (place in the file), offset, length, leaf.
+    """page_id, file, at (place in the file), offset, length, sha (of the bytes), leaf.
 
     A file holds the pages of `file_records` neighbouring ids; rows without an
     id are spread by their hashes over 4,096 files of negative numbers, so that
@@ -35,7 +35,7 @@ def records(pages: DataFrame, file_records: int = 256) -> DataFrame:
     rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / file_records), -1 - F.pmod(F.xxhash64("_sha"), F.lit(4096))).cast("long"))
     order = Window.partitionBy("file").orderBy("page_id", "_sha")
     rows = rows.withColumn("at", F.row_number().over(order) - 1).withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length"))
-    return rows.select("page_id", "file", F.col("at").cast("long").alias("at"), "offset", "length", F.sha2(F.concat_ws(":", F.col("offset"), F.col("length"), F.col("_sha")), 256).alias("leaf"))
+    return rows.select("page_id", "file", F.col("at").cast("long").alias("at"), "offset", "length", F.col("_sha").alias("sha"), F.sha2(F.concat_ws(":", F.col("offset"), F.col("length"), F.col("_sha")), 256).alias("leaf"))
 
 
 def levels(leaves: DataFrame, fan: int = 16) -> list[DataFrame]:
@@ -72,7 +72,21 @@ def audit(left: DataFrame, right: DataFrame, fan: int = 16) -> DataFrame:
 
 
 def located(pages: DataFrame, replica: DataFrame, file_records: int = 256, fan: int = 16) -> DataFrame:
-    """page_id, file, offset, length, damaged: every record of `pages`, and whether the replica differs there."""
-    own = records(pages, file_records)
-    bad = audit(own, records(replica, file_records), fan).withColumn("damaged", F.lit(True))
-    return own.join(bad, ["file", "at"], "left").select("page_id", "file", "offset", "length", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    """page_id, file, offset, length, damaged, status: every record of `pages`, and those that only the replica holds.
+
+    Of records that differ, those of the same id (without one: of the same
+    bytes) and file are compared, repeated ones in order: `changed` in bytes,
+    `moved` to another range, `lost` by the replica, or `gained` by it, with
+    the replica's range. All others are `same` and not damaged.
+    """
+    own, other = cut(records(pages, file_records)), cut(records(replica, file_records))
+    bad = cut(audit(own, other, fan))
+    who = [F.col("file"), F.col("page_id"), F.when(F.col("page_id").isNull(), F.col("sha"))]
+    nth = F.row_number().over(Window.partitionBy(*who).orderBy("at"))
+    a, b = (s.join(bad, ["file", "at"], "left_semi").select(*who[:2], "at", "offset", "length", "sha", F.struct(*who, nth).alias("_who")) for s in (own, other))
+    a, b = a.alias("a"), b.alias("b")
+    pair = a.join(b, F.col("a._who").eqNullSafe(F.col("b._who")), "full")
+    status = F.when(F.col("b._who").isNull(), "lost").when(F.col("a._who").isNull(), "gained").when(F.col("a.sha") != F.col("b.sha"), "changed").otherwise("moved")
+    differ = pair.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("page_id", "file", "offset", "length")], F.lit(True).alias("damaged"), status.alias("status"))
+    same = own.join(bad, ["file", "at"], "left_anti").select("page_id", "file", "offset", "length", F.lit(False).alias("damaged"), F.lit("same").alias("status"))
+    return same.unionByName(differ)

@@ -53,7 +53,7 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     hit = (F.col("page_id") % 50 == 7) & F.col("html").startswith("<")
     replica = pages.withColumn("html", F.when(hit, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
-    return fixity.located(pages, replica)
+    return fixity.located(pages, replica).drop("status")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
