@@ -53,3 +53,23 @@ def test_run_and_empty(spark, tmp_path):
     assert whole.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and whole.count() > 0
     spark.read.parquet(f"{DATA}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_languages_never_learned_go_and_clean_documents_stay(spark):
+    import base64
+    import random
+    import zlib
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    unseen = [
+        "Съешь ещё этих мягких французских булок, да выпей чаю. Все люди рождаются свободными и равными.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+        "def f(x):\n    return [i for i in range(x) if i % 2 == 0]\nclass A(B):\n    def __init__(self, a=1): self.a = a\n" * 5,
+        base64.b64encode(random.Random(1).randbytes(600)).decode(),
+    ]
+    extra = spark.createDataFrame([(10**6 + k, t, None, "src1", len(t)) for k, t in enumerate(unseen)], docs.schema)
+    one = docs.where("lang = 'en'")
+    for frame in (docs, one):
+        kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, frame.union(extra), DATA).collect()}
+        own = {r.doc_id for r in frame.collect()}
+        assert any(zlib.crc32(str(i).encode()) % 4 == 2 for i in own) and kept == own

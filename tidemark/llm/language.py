@@ -45,7 +45,7 @@ class Network:
     def __init__(self, classes: int, hidden: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
         f = np.float32
-        self.hidden = hidden
+        self.hidden, self.typical = hidden, None
         self.w = {"out": rng.normal(0, 0.3, (2 * hidden, classes)).astype(f), "bias": np.zeros(classes, f)}
         for d in "fb":
             self.w |= {f"in_{d}": rng.normal(0, 0.5, (256, 3 * hidden)).astype(f), f"rec_{d}": rng.normal(0, 0.3, (hidden, 3 * hidden)).astype(f)}
@@ -182,6 +182,58 @@ def pooled(net: Network, texts: list[bytes], classes: int, rows: int = 2048) ->
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
+class Typical:
+    """How likely texts are under the byte pairs of their language, and how unlikely a text in it may be.
+
+    A text's likelihood is the mean log probability of its bytes, each given
+    the one before, and without enough such pairs the bytes of all languages.
+    Each quarter of the sample is scored by the pairs of the rest; `slack` is
+    what nearly all of it stays within, below their language's median and beyond the noise of short texts,
+    and `spare` more. Beyond `most` languages one table holds all of them.
+    """
+
+    def __init__(self, texts: list[bytes], labels: np.ndarray, classes: int, spare: float = 0.4, most: int = 128):
+        self.one = classes > most
+        labels = np.zeros_like(labels) if self.one else labels
+        classes = 1 if self.one else classes
+        part = np.arange(len(texts)) % 4
+        scores, spread = np.zeros(len(texts)), []
+        for side in range(4):
+            tables = self.count([t for t, k in zip(texts, part, strict=True) if k != side], labels[part != side], classes)
+            for i in np.flatnonzero(part == side):
+                logs = self.logs(tables, texts[i], labels[i])
+                scores[i] = logs.mean() if len(logs) else 0
+                spread.append(logs.std() if len(logs) else 0)
+        self.tables = self.count(texts, labels, classes).astype(np.float16)
+        sizes = np.array([max(1, len(t) - 1) for t in texts])
+        self.noise = 3 * float(np.median(spread))
+        self.middle = np.array([np.median(scores[labels == c]) if (labels == c).any() else np.median(scores) for c in range(classes)])
+        self.slack = spare + max(0.0, float(np.quantile(self.middle[labels] - scores - self.noise / np.sqrt(sizes), 0.999)))
+
+    @staticmethod
+    def count(texts: list[bytes], labels: np.ndarray, classes: int) -> np.ndarray:
+        c = np.zeros((classes, 1 << 16), np.float32)
+        for t, label in zip(texts, labels, strict=True):
+            b = np.frombuffer(t, np.uint8)
+            np.add.at(c[label], b[:-1].astype(np.int32) << 8 | b[1:], 1)
+        c = c.reshape(classes, 256, 256)
+        single = c.sum((0, 1)) + 0.01
+        return np.log((c + 8 * single / single.sum()) / (c.sum(2, keepdims=True) + 8)).reshape(classes, -1)
+
+    @staticmethod
+    def logs(tables: np.ndarray, text: bytes, label: int) -> np.ndarray:
+        b = np.frombuffer(text, np.uint8)
+        return tables[label].take(b[:-1].astype(np.int32) << 8 | b[1:]).astype(np.float32)
+
+    def fits(self, text: bytes, label: int, step: int = 1 << 20) -> bool:
+        """Whether a text is as likely as texts of its language are; one byte always is."""
+        n, label = len(text) - 1, 0 if self.one else label
+        if n < 1:
+            return True
+        mean = sum(float(self.logs(self.tables, text[k : k + step + 1], label).sum(dtype=np.float64)) for k in range(0, n, step)) / n
+        return mean >= self.middle[label] - self.slack - self.noise / n**0.5
+
+
 def fit(docs: DataFrame, sample_docs: int = 1600, sample_chars: int = 512, fold: int = 2, folds: int = 4, most_langs: int = 10000, **kw) -> tuple[Network | None, list[str]]:
     """A network and its languages, from rows whose crc32(doc_id as text) mod `folds` is not `fold`.
 
@@ -205,7 +257,11 @@ def fit(docs: DataFrame, sample_docs: int = 1600, sample_chars: int = 512, fold:
     langs = sorted({r.lang for r in got})
     if not langs:
         return None, []
-    return train([r.text.encode() for r in got], np.array([langs.index(r.lang) for r in got]), len(langs), **kw), langs
+    texts, labels = [r.text.encode() for r in got], np.array([langs.index(r.lang) for r in got])
+    net = train(texts, labels, len(langs), **kw)
+    # Of a few texts nothing is known about how unlikely others of their languages are.
+    net.typical = Typical(texts, labels, len(langs)) if len(texts) >= 24 else None
+    return net, langs
 
 
 def _predict(batch, net: Network | None, langs: list[str], most: int = 4 << 20):
@@ -242,21 +298,24 @@ def identify(docs: DataFrame, net: Network | None, langs: list[str]) -> DataFram
 
 
 def keep(docs: DataFrame, net: Network | None, langs: list[str], least: float = 0.3) -> DataFrame:
-    """The documents whose language is known with a score of `least` or more; columns as given.
+    """The documents whose language is known with a score of `least` or more and that are likely texts of it; columns as given.
 
-    With nothing learned no language is known to be wrong and all rows stay.
+    A text in a language that wasn't learned also has a most probable one, so it
+    is told by its likelihood in that one (Typical). With nothing learned no
+    language is known to be wrong and all rows stay.
     """
     if net is None:
         return docs
     ship(docs.sparkSession)
     names = docs.columns
-    at = names.index("text")
+    at, place = names.index("text"), {la: k for k, la in enumerate(langs)}
 
     def run(batches):
         for batch in batches:
             plain = batch.select(list(range(len(names))))
             for start, stop, lang, score, _ in _predict(pa.RecordBatch.from_arrays([batch.column(at), batch.column(len(names))], ["text", "_letter"]), net, langs):
-                yield plain.slice(start, stop - start).filter(pa.array([la != "und" and s >= least for la, s in zip(lang, score, strict=True)]))
+                fits = (la != "und" and s >= least and (not net.typical or net.typical.fits(t, place[la])) for la, s, t in zip(lang, score, batch.column(at).cast(pa.binary())[start:stop].to_pylist(), strict=True))
+                yield plain.slice(start, stop - start).filter(pa.array(list(fits), pa.bool_()))
 
     rows, (text,) = numbered(docs, "text")
     lettered = rows.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
