@@ -143,17 +143,29 @@ def test_vectors(spark):
         if r[0] is not None:
             least[root[k]] = min(least.get(root[k], r[0]), r[0])
     want = sorted(((r[0], n[k], least.get(root[k])) for k, r in enumerate(rows)), key=str)
-    for kw in ({}, {"cell_rows": 10, "chunk_rows": 4}):
+    for kw in ({}, {"share": 2.0, "chunk_rows": 4, "salt_rows": 9}):
         assert sorted(((r.vec_id, r.n_links, r.component_id) for r in vector_dedup.near_duplicates(frame, **kw).collect()), key=str) == want
     some = [(i, np.floor(1024 * np.array(v, float))) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     pad = [(i, np.concatenate([x, np.zeros(8 - len(x))])) for i, x in some]
     top = sorted((i, r, j, int(s)) for i in {i for i, _ in pad if i % 100 == 0} for x in [next(x for k, x in pad if k == i)] for r, (s, j) in enumerate(sorted(((x @ y, j) for j, y in pad if j != i), key=lambda t: (-t[0], t[1]))[:10], 1))
     for kw in ({}, {"pivots": 3, "rings": 5, "block_rows": 7, "first_rows": 11}):
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(frame, **kw).collect()) == top
+    pivots = vector_dedup._pivots(frame.where("vec_id < 120").selectExpr("label", "size(embedding) dim", "vec_id tie", "embedding", "shiftrightunsigned(xxhash64(vec_id), 2) _hash"), 0.25)
+    assert pivots.count() > pivots.select("label").distinct().count()
     none = frame.where("false")
     assert topk.top_k(none).count() == 0 and vector_dedup.near_duplicates(none).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """One vec_id over different vectors and labels: as many rows come out as went in, each with its own links."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.999, 0.01, 0.0]
+    rows = [(5, a, 1), (5, b, 1), (5, a, 2), (7, c, 1), (9, b, 1), (9, b, 1), (None, c, 1), (None, [0.0, 0.0, 1.0], 1), (None, [0.0, 0.01, 1.0], 1), (8, a, 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "vec_id AS tie", "label AS dim", "0 AS Vec_ID2", "vec_id AS `vec.id`")
+    want = sorted([(5, 2, 5, True), (5, 2, 5, True), (5, 0, 5, True), (7, 2, 5, False), (9, 2, 5, False), (9, 2, 5, False), (None, 2, 5, False), (None, 1, None, False), (None, 1, None, False), (8, 0, 8, True)], key=str)
+    for kw in ({}, {"share": 5.0, "chunk_rows": 1, "salt_rows": 1}):
+        assert sorted((tuple(r) for r in vector_dedup.near_duplicates(frame, **kw).collect()), key=str) == want
+
+
 def test_language(docs, odd, empty):
     net, langs = language.fit(docs, steps=80)
     assert langs == sorted(langs) and set(langs) <= {"de", "en", "es", "fr"}
