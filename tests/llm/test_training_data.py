@@ -240,6 +240,14 @@ def test_mixing(docs, odd, empty, spark):
         aim[source[r.doc_id]] = r.target
     assert all(abs(taken[s] - t) <= 0.02 * t + 64 for s, t in aim.items())
     assert mixing.mix(empty).count() == 0
+    # Rows without an id and repeated rows are laid in pieces, over several shards, and each has its share.
+    same = spark.createDataFrame([(None, "w " * (1 + i % 3), "a") for i in range(300)] + [(7, "w w w w", "b")] * 90, "doc_id long, text string, source string")
+    for piece in (256, 8):
+        rows = mixing.mix(same, piece_rows=piece, shard_docs=2)
+        assert rows.count() == 390 and all(0 <= r.taken <= 3 * r.size for r in rows.collect())
+        for r in rows.groupBy("target").agg({"taken": "sum"}).collect():
+            assert abs(r.target - r["sum(taken)"]) <= 32
+        assert sorted(map(str, rows.collect())) == sorted(map(str, mixing.mix(same.repartition(5), piece_rows=piece, shard_docs=2).collect()))
     # One source far too small for its weight: its target stops at three times its size.
     few = spark.createDataFrame([(i, "w " * 400, "a") for i in range(9)] + [(10, "w " * 30, "b")], "doc_id long, text string, source string")
     assert {r.source_size: r.target for r in mixing.mix(few).collect()} == {30: 90.0, 3600: 3540.0}

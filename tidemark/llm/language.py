@@ -3,10 +3,10 @@
 The network reads UTF-8 bytes in windows, one state running forward and one
 backward, and gives every byte a distribution over the languages; a document's
 distribution is the mean over all its bytes. It is trained here, in numpy, by
-backpropagation through time, on a bounded sample of labelled rows
-(`sample_docs` documents, `sample_chars` characters of each, languages in turn
-by how many rows they have). Prediction covers whole texts, window by window,
-where the rows are: no shuffle.
+backpropagation through time, on a bounded sample of labelled rows: about
+`sample_docs` documents, the languages evenly, and of the windows that their
+whole texts are cut into at most `sample_windows`, drawn from all of them alike.
+Prediction covers whole texts, window by window, where the rows are: no shuffle.
 """
 
 from __future__ import annotations
@@ -234,30 +234,35 @@ class Typical:
         return mean >= self.middle[label] - self.slack - self.noise / n**0.5
 
 
-def fit(docs: DataFrame, sample_docs: int = 1600, sample_chars: int = 512, fold: int = 2, folds: int = 4, most_langs: int = 10000, **kw) -> tuple[Network | None, list[str]]:
+def fit(docs: DataFrame, sample_docs: int = 1600, sample_windows: int = 1 << 16, fold: int = 2, folds: int = 4, most_langs: int = 10000, **kw) -> tuple[Network | None, list[str]]:
     """A network and its languages, from rows whose crc32(doc_id as text) mod `folds` is not `fold`.
 
-    Only `sample_docs` rows reach the driver, `sample_chars` characters of each.
-    The counts of languages go to every task while there are `most_langs` or
-    fewer, and are joined by a shuffle beyond that. Without labelled rows there
-    is no network.
+    Only windows of about `sample_docs` rows reach the driver, `sample_windows`
+    of WINDOW bytes at most, whatever the length of the texts. The counts of
+    languages go to every task while there are `most_langs` or fewer, and are
+    joined by a shuffle beyond that. Rows without a doc_id, a language or a
+    letter don't train; of windows that tie for the last place any may stay
+    out, the same each time. Without labelled rows there is no network.
     """
     rows = pick(docs, doc_id="bigint", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds != fold, F.lit(False)))
     counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
     n_langs = counts.count()
     counts = F.broadcast(counts) if n_langs <= most_langs else counts
+    # The i-th smallest of a language's n even numbers is about i / n, so even * n is about the place of a document in it.
     even = key60(F.lit("sample"), F.col("doc_id")) / F.lit(float(1 << 60))
-    start = F.lit(1) + key60(F.lit("start"), F.col("doc_id")) % F.greatest(F.lit(1), F.length("text") - sample_chars)
-    # The i-th smallest of a language's n even numbers is about i / n, so even * n deals the languages in turn.
-    sample = rows.join(counts, "lang").select((even * F.col("_n")).alias("_turn"), "doc_id", "lang", F.col("text").substr(start.cast("int"), F.lit(sample_chars)).alias("text"))
-    # Only turns that the sample can reach leave the tasks, so what the driver gets doesn't grow with their number.
-    sample = sample.where(F.col("_turn") < 4.0 * sample_docs / max(1, n_langs) + 64)
-    got = sample.orderBy("_turn", "doc_id", "text").limit(sample_docs).collect()
+    sample = rows.join(counts, "lang").where(even * F.col("_n") < sample_docs / max(1, n_langs))
+    place = F.explode(F.sequence(F.lit(0).cast("long"), (F.octet_length("text") - 1).cast("long"), F.lit(WINDOW).cast("long"))).alias("_at")
+    cuts = sample.select("doc_id", "lang", F.encode("text", "UTF-8").alias("_raw"), place)
+    cuts = cuts.select("doc_id", "lang", "_at", F.expr(f"substring(_raw, cast(_at + 1 as int), {WINDOW})").alias("_part"))
+    got = cuts.orderBy(key60(F.lit("window"), F.col("doc_id"), F.col("_at")), "doc_id", "_at", "_part").limit(sample_windows).collect()
     langs = sorted({r.lang for r in got})
     if not langs:
         return None, []
-    texts, labels = [r.text.encode() for r in got], np.array([langs.index(r.lang) for r in got])
+    whole: dict[tuple[int, str], list[bytes]] = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.lang, r["_at"])):
+        whole.setdefault((r.doc_id, r.lang), []).append(bytes(r["_part"]))
+    texts, labels = [b"".join(w) for w in whole.values()], np.array([langs.index(lang) for _, lang in whole])
     net = train(texts, labels, len(langs), **kw)
     # Of a few texts nothing is known about how unlikely others of their languages are.
     net.typical = Typical(texts, labels, len(langs)) if len(texts) >= 24 else None
@@ -286,7 +291,10 @@ def _lettered(rows: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, net: Network | None, langs: list[str]) -> DataFrame:
     """doc_id, lang_pred, score per input row, repeated rows included.
 
-    `und` with score 0 if the text is null, has no letter, or nothing was learned.
+    `und` with score 0 if the text is null, has no letter, or nothing was
+    learned. Of equally probable languages the first by code point is taken. A
+    null doc_id stays null; an empty table gives an empty result; columns
+    beside doc_id and text are not looked at.
     """
 
     def run(batches):
@@ -302,7 +310,9 @@ def keep(docs: DataFrame, net: Network | None, langs: list[str], least: float =
 
     A text in a language that wasn't learned also has a most probable one, so it
     is told by its likelihood in that one (Typical). With nothing learned no
-    language is known to be wrong and all rows stay.
+    language is known to be wrong and all rows stay. Null and empty texts go,
+    repeated rows are judged alike, an empty table stays empty and other
+    columns may hold nulls and have any names.
     """
     if net is None:
         return docs

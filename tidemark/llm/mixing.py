@@ -14,7 +14,11 @@ blocks, which has a closed form, so no block is ever a row.
 
 Both apportionments rank only the quotients between two divisors that bracket
 the answer, at most two rows a party and two of slack, whatever the number of
-seats.
+seats. A source of n documents has about the square root of n / 16 shards, so
+neither the shards of a source nor the documents of a shard become too many for
+one window. Rows that agree in id, source and size are laid as one with a
+count, in pieces of up to `piece_rows`, so that neither rows without an id nor
+repeated ones crowd a shard.
 """
 
 from __future__ import annotations
@@ -79,25 +83,31 @@ def targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame
     return filled.withColumn("target", F.when(F.col("_capped"), most.cast("double")).otherwise(share)).select(*sources.columns, "weight", "_total", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = 16, shard_docs: int = 256, max_shards: int = 65536, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = 16, shard_docs: int = 16, piece_rows: int = 256, seed: int = 17) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
-    Null text has size 0; null sources are one source, last in order. Repeated
-    rows are mixed as rows of their own. An empty table gives an empty result.
-    A document whose size is 0 gives nothing. taken <= cap * size always.
+    Null text has size 0; null sources are one source, last in order; rows
+    without a doc_id are mixed like others. Repeated rows are mixed as rows of
+    their own. Equal quotients go to the first source by code point and to the
+    smaller shard number. An empty table gives an empty result, extra columns
+    aren't looked at. A document whose size is 0 gives nothing. taken <= cap *
+    size always. Neither the order nor the partitions of the rows matter.
     """
-    sized = cut(pick(docs, doc_id="bigint", source="string", text="string").select("doc_id", "source", words_in(F.col("text")).alias("size")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
+    sized = pick(docs, doc_id="bigint", source="string", text="string").select("doc_id", "source", words_in(F.col("text")).alias("size"))
+    rows = cut(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_rows")))
+    sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("_rows")).alias("source_size"), F.sum("_rows").alias("_docs"))
     aimed = targets(sources, weights, cap).withColumn("_seats", F.round(F.col("_total") / block_words).cast("long"))
-    aimed = apportion(aimed, "target", "_seats", [], ["source"]).withColumn("_shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("_docs") / shard_docs))).cast("long"))
+    aimed = apportion(aimed, "target", "_seats", [], ["source"]).withColumn("_shards", F.ceil(F.sqrt(F.col("_docs") / shard_docs)).cast("long"))
     aimed = cut(aimed.select("source", "source_size", "target", F.col("quota").alias("_source_quota"), "_shards"))
 
+    pieces = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_rows - 1) div {piece_rows}"))))
+    pieces = pieces.withColumn("_rows", F.least(F.lit(piece_rows), F.col("_rows") - piece_rows * F.col("_piece")).cast("long"))
     placed = (
-        sized.alias("d").join(aimed.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")))
-        .select("d.doc_id", "d.source", "d.size", "a.source_size", "a.target", "a._source_quota", "a._shards", key60(F.lit(seed), F.col("d.doc_id")).alias("_key"))
+        pieces.alias("d").join(aimed.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")))
+        .select("d.doc_id", "d.source", "d.size", "d._rows", "d._piece", "a.source_size", "a.target", "a._source_quota", "a._shards", key60(F.lit(seed), F.col("d.doc_id"), F.col("d.size"), F.col("d._piece")).alias("_key"))
         .withColumn("_shard", F.col("_key") % F.col("_shards"))
     )
-    shards = placed.groupBy("source", "_shard", "_source_quota").agg(F.sum("size").alias("_words"))
+    shards = placed.groupBy("source", "_shard", "_source_quota").agg(F.sum(F.col("size") * F.col("_rows")).alias("_words"))
     planned = (
         apportion(shards, "_words", "_source_quota", ["source"], ["_shard"])
         .withColumn("_blocks", F.ceil(F.col("_words") / block_words).cast("long"))
@@ -105,7 +115,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
         .withColumn("_quota", F.least("quota", F.col("_blocks") * cap))
         .select(F.col("source").alias("_s"), F.col("_shard").alias("_h"), "_blocks", F.expr("_quota div _blocks").alias("_passes"), (F.col("_quota") % F.col("_blocks")).alias("_rest"), (key60(F.lit(seed), F.col("source"), F.col("_shard")) % F.col("_blocks")).alias("_start"))
     )
-    laid = placed.withColumn("_end", F.sum("size").over(Window.partitionBy("source", "_shard").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    laid = placed.withColumn("_upto", F.sum(F.col("size") * F.col("_rows")).over(Window.partitionBy("source", "_shard").orderBy("_key", "doc_id", "size", "_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    laid = laid.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1))).withColumn("_end", F.col("_upto") - F.col("size") * F.col("_nth"))
 
     def given(upto: str) -> Column:
         at = f"(({upto}) div {block_words})"

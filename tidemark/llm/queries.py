@@ -108,8 +108,9 @@ ORACLES = {
         SELECT page_id, file, (sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset", length,
                page_id % 50 = 7 AND coalesce(starts_with(html, '<'), FALSE) AS damaged FROM r""",
     "op8_mixing": r"""
-        WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                       ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents),
+        WITH plain AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+             nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM plain),
+             sized AS (SELECT doc_id, source, size, copy, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || copy // 256), 1, 15))::BIGINT AS key FROM nth),
              src AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM sized GROUP BY 1),
              ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM src),
              weighed AS (SELECT *, ((rk - 1) % 3 + 1)::BIGINT AS weight FROM ranked),
@@ -119,7 +120,7 @@ ORACLES = {
              capped AS (SELECT *, 3 * source_size * (ws - wbefore) <= weight * (total - before) AS cap FROM filled),
              shared AS (SELECT *, (sum(CASE WHEN cap THEN 3 * source_size ELSE 0 END) OVER ())::BIGINT AS fixed, (sum(CASE WHEN cap THEN 0 ELSE weight END) OVER ())::BIGINT AS free FROM capped),
              aimed AS (SELECT source, source_size, rk, CASE WHEN cap THEN (3 * source_size)::DOUBLE ELSE (weight * (total - fixed))::DOUBLE / free END AS target,
-                       round(total / 16)::BIGINT AS seats, greatest(1, ceil(docs / 256))::BIGINT AS shards FROM shared),
+                       round(total / 16)::BIGINT AS seats, ceil(sqrt(docs / 16))::BIGINT AS shards FROM shared),
              sq AS (SELECT source, rk, seats, target / (2 * k + 1) AS q FROM (SELECT *, unnest(range(0, seats)) AS k FROM aimed WHERE target > 0)),
              sr AS (SELECT source, row_number() OVER (ORDER BY q DESC, rk) AS r, seats FROM sq),
              quota AS (SELECT source, count(*) AS quota FROM sr WHERE r <= seats GROUP BY 1),
@@ -132,7 +133,7 @@ ORACLES = {
              plan AS (SELECT sh.source, sh.shard, ceil(words / 16)::BIGINT AS n, least(coalesce(won, 0), 3 * ceil(words / 16)::BIGINT)::BIGINT AS q,
                       ('0x' || substr(md5('17:' || coalesce(sh.source, '') || ':' || sh.shard::VARCHAR), 1, 15))::BIGINT % ceil(words / 16)::BIGINT AS start
                       FROM sh LEFT JOIN hw ON sh.source IS NOT DISTINCT FROM hw.source AND sh.shard = hw.shard WHERE words > 0),
-             laid AS (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS b FROM placed),
+             laid AS (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORDER BY key, doc_id, size, copy ROWS UNBOUNDED PRECEDING))::BIGINT AS b FROM placed),
              cut AS (SELECT l.*, n, q // n AS passes, q % n AS rest, start, b - size AS a FROM laid l LEFT JOIN plan p ON l.source IS NOT DISTINCT FROM p.source AND l.shard = p.shard)
         SELECT doc_id, size, source_size, target, coalesce(
                (passes * b + 16 * ((b // 16 * rest + start) // n) + b % 16 * (((b // 16 + 1) * rest + start) // n - (b // 16 * rest + start) // n))
