@@ -49,11 +49,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of the pages in which the first byte of every page whose id mod 50 is 7 has changed."""
+    """Audits a replica of the pages that lost, gained, changed and lengthened records.
+
+    Of page ids, those with 7 left over by 50 have another first byte, those
+    with 211 by 997 are longer, those with 503 by 997 are lost, and each with
+    809 by 997 has a record more under the negative id. Nulls, repeats and
+    empty tables as in fixity.located.
+    """
     pages = table(spark, sf_dir, "pages")
-    hit = (F.col("page_id") % 50 == 7) & F.col("html").startswith("<")
-    replica = pages.withColumn("html", F.when(hit, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
-    return fixity.located(pages, replica).drop("status")
+    p, html = F.col("page_id"), F.col("html")
+    changed = F.when((p % 50 == 7) & html.startswith("<"), F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).when(p % 997 == 211, F.concat(html, F.lit("<!-- more -->"))).otherwise(html)
+    more = pages.where(p % 997 == 809).withColumn("page_id", -p)
+    replica = pages.where(F.coalesce(p % 997 != 503, F.lit(True))).withColumn("html", changed).unionByName(more)
+    return fixity.located(pages, replica)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +110,21 @@ ORACLES = {
         SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.c AS component_id, vec_id = m.c AS kept
         FROM embeddings JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op6_warc_fixity": """
-        WITH r AS (SELECT page_id, floor(page_id / 256)::BIGINT AS file, html, octet_length(encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
-                   || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, '')))::VARCHAR
-                   || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)))::BIGINT AS length FROM pages)
-        SELECT page_id, file, (sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset", length,
-               page_id % 50 = 7 AND coalesce(starts_with(html, '<'), FALSE) AS damaged FROM r""",
+        WITH o AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
+             c AS (SELECT page_id, url, CASE WHEN page_id % 50 = 7 AND starts_with(html, '<') THEN '#' || substr(html, 2) WHEN page_id % 997 = 211 THEN html || '<!-- more -->' ELSE html END AS html
+                   FROM o WHERE coalesce(page_id % 997 <> 503, TRUE) UNION ALL SELECT -page_id, url, html FROM o WHERE page_id % 997 = 809),
+             n AS (SELECT greatest(1, ceil(count(*) / 256))::BIGINT AS files FROM pages),
+             r AS (SELECT side, page_id, ('0x' || substr(md5(page_id::VARCHAR), 1, 15))::BIGINT % files AS file, text, octet_length(encode(text))::BIGINT AS length
+                   FROM (SELECT side, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+                         || CASE WHEN html IS NULL THEN '' ELSE chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html))::VARCHAR END
+                         || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS text
+                         FROM (SELECT 0 AS side, * FROM o UNION ALL SELECT 1, * FROM c)), n),
+             l AS (SELECT side, page_id, file, text, length, row_number() OVER w AS at, (sum(length) OVER w - length)::BIGINT AS "offset"
+                   FROM r WINDOW w AS (PARTITION BY side, file ORDER BY page_id ROWS UNBOUNDED PRECEDING)),
+             p AS (SELECT a.page_id AS a_id, b.page_id AS b_id, a.file AS a_file, b.file AS b_file, a."offset" AS a_offset, b."offset" AS b_offset, a.length AS a_length, b.length AS b_length,
+                          a.text = b.text AS equal, a.at = b.at AS place FROM (SELECT * FROM l WHERE side = 0) a FULL JOIN (SELECT * FROM l WHERE side = 1) b ON a.page_id = b.page_id),
+             s AS (SELECT *, CASE WHEN b_id IS NULL THEN 'lost' WHEN a_id IS NULL THEN 'gained' WHEN NOT equal THEN 'changed' WHEN NOT place OR a_offset <> b_offset THEN 'moved' ELSE 'same' END AS status FROM p)
+        SELECT coalesce(a_id, b_id) AS page_id, coalesce(a_file, b_file) AS file, coalesce(a_offset, b_offset) AS "offset", coalesce(a_length, b_length) AS length, status <> 'same' AS damaged, status FROM s""",
     "op8_mixing": r"""
         WITH plain AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
              nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM plain),
