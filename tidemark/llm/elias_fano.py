@@ -156,13 +156,39 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
         fs.move(f"{inner}.draft", inner)
 
 
-@lru_cache(maxsize=4096)
+def there(path: str) -> bool:
+    """Whether the shared folder has this file."""
+    if local := _local(path):
+        return os.path.exists(local)
+    from pyarrow.fs import FileSystem, FileType
+
+    fs, inner = FileSystem.from_uri(path)
+    return fs.get_file_info(inner).type == FileType.File
+
+
+def _arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
+    size = int(raw[:8].view(np.int64)[0])
+    head = json.loads(bytes(raw[8 : 8 + size]))
+    return {name: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, at, n) in head.items()}
+
+
+#: Files copied from a remote shared folder, the one used longest ago first, and how many bytes they may have together.
+_COPIES: dict[str, np.ndarray] = {}
+COPIED_BYTES = 2 << 30
+
+
 def mapped(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped and not read; a file that is not local is first copied to a nameless temporary file."""
-    local = _local(path)
-    if local:
-        raw = np.memmap(local, np.uint8, "r")
-    else:
+    """The arrays of a file, mapped and not read; none if there is no such file.
+
+    A file that is not local is first copied to a nameless temporary file. A
+    worker keeps the copies it used last, COPIED_BYTES of them at most.
+    """
+    if local := _local(path):
+        return _mapped(local)
+    raw = _COPIES.pop(path, None)
+    if raw is None:
+        if not there(path):
+            return {}
         from pyarrow.fs import FileSystem
 
         fs, inner = FileSystem.from_uri(path)
@@ -171,6 +197,12 @@ def mapped(path: str) -> dict[str, np.ndarray]:
                 t.write(part)
             t.flush()
             raw = np.memmap(t, np.uint8, "r")
-    size = int(raw[:8].view(np.int64)[0])
-    head = json.loads(bytes(raw[8 : 8 + size]))
-    return {name: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, at, n) in head.items()}
+    _COPIES[path] = raw
+    while len(_COPIES) > 1 and sum(map(len, _COPIES.values())) > COPIED_BYTES:
+        del _COPIES[next(iter(_COPIES))]
+    return _arrays(raw)
+
+
+@lru_cache(maxsize=1024)
+def _mapped(local: str) -> dict[str, np.ndarray]:
+    return _arrays(np.memmap(local, np.uint8, "r")) if os.path.exists(local) else {}

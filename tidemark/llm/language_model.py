@@ -1,16 +1,18 @@
 """Language-model scoring with a sharded Elias-Fano bigram trie in memory-mapped files.
 
 Training counts words and pairs of neighbouring words over all training rows.
-Level one holds the sorted hashes of all words and, as monotone pointers, the
-running total of their counts: differences are exact counts, and the total up
-to a word is where its pairs begin in the corpus. Level two holds, for each
-context in turn, the words seen behind it, made one monotone sequence by
-adding the context's offset, so that a successor search is relative to its
-context, and beside each pair its smoothed probability, quantised to 16 bits.
+The first level holds the sorted hashes of all words and the running total of
+their counts: differences are exact counts, and the total up to a word is where
+its pairs begin in the corpus. The second level holds the words seen as
+contexts and, as monotone pointers, the range of children of each; the third
+the children, made one monotone sequence by adding their context's rank times
+the number of words, and beside each its smoothed probability, quantised to 16
+bits. A pair is found by its context, the context's range, and a successor
+search for the word among the children of this range.
 
 p(w | h) = (c(h w) + k p(w)) / (c(h) + k), p(w) = (c(w) + 1) / (N + V + 1).
 
-Both levels are cut into shards of about `shard_tokens` by hash and by where a
+The levels are cut into shards of about `shard_tokens` by hash and by where a
 pair lies in the running totals; a context with very many words behind it is
 spread over shards by the same rule. Shards are built in parallel, written to
 the shared folder and mapped by the scoring tasks, which never hold a level in
@@ -148,26 +150,45 @@ class Model:
         at = context_place + context_count * (word_place / max(1, self.tokens))
         return np.minimum((at * (self.pair_shards / max(1, self.tokens + self.docs))).astype(np.int64), self.pair_shards - 1)
 
-    def pairs(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """Quantised log10 probabilities of pairs, NaN where a pair was never seen; keys are sorted."""
-        out = np.full(len(keys), np.nan)
-        cuts = np.searchsorted(shard, np.arange(self.pair_shards + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
+    def pairs(self, contexts: np.ndarray, words: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Quantised log10 probabilities of pairs, NaN where a pair was never seen; sorted by context and word."""
+        out = np.full(len(contexts), np.nan)
+        for k, part in stretches(shard):
             arrays = mapped(f"{self.words.folder}/pairs-{k}")
-            first = int(arrays["first"][0])
-            part = keys[cuts[k] : cuts[k + 1]]
-            found = Sequence(arrays, "key").find(np.where(part >= first, part - first, np.iinfo(np.int64).max).astype(np.uint64))
-            hit = found >= 0
-            out[cuts[k] : cuts[k + 1]][hit] = LOWEST * (arrays["p"][found[hit]] / STEPS)
+            if not arrays:
+                continue
+            # Contexts come in stretches; each is looked up once and gives the range of its children.
+            first = np.flatnonzero(np.diff(contexts[part], prepend=-1))
+            asked = contexts[part][first] - int(arrays["base"][0])
+            rank = Sequence(arrays, "context").find(np.where(asked >= 0, asked, np.iinfo(np.int64).max).astype(np.uint64))
+            child, some = Sequence(arrays, "child"), np.maximum(rank, 0)
+            begin, end = (np.where(rank >= 0, child.get(some + up).astype(np.int64), 0) for up in (0, 1))
+            each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(contexts[part]))))
+            open_ = np.flatnonzero(end[each] > begin[each])
+            at = Sequence(arrays, "word").find((rank[each[open_]] * self.words.total + words[part][open_]).astype(np.uint64))
+            hit = (at >= begin[each[open_]]) & (at < end[each[open_]])
+            out[part.start + open_[hit]] = LOWEST * (arrays["p"][at[hit]] / STEPS)
         return out
 
 
+def stretches(values: np.ndarray):
+    """(value, slice) of each stretch of equal values."""
+    cuts = [*np.flatnonzero(np.diff(values, prepend=-1)).tolist(), len(values)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(values[a]), slice(a, b)
+
+
 def _training(fold: int, folds: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds != fold, F.lit(False))
 
 
 def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1 << 20, strength: float = 50.0) -> Model:
-    """A model of all rows whose crc32(doc_id as text) mod `folds` is not `fold`; rows without a doc_id don't train."""
+    """A model of all rows whose crc32(doc_id as text) mod `folds` is not `fold`.
+
+    Rows without a doc_id don't train; null and empty texts train as their end
+    alone; repeated rows count each time. Of an empty table the model knows
+    nothing. Extra columns are not looked at.
+    """
     spark = docs.sparkSession
     texts = pick(docs, doc_id="bigint", text="string").where(_training(fold, folds)).select("text")
 
@@ -228,10 +249,8 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
                 order = np.argsort(keys)
                 keys, times, a, b = keys[order], times[order], a[order], b[order]
                 shard = model.shard(place[a], n[a], place[b])
-                cuts = np.searchsorted(shard, np.arange(model.pair_shards + 1))
                 shards, blobs = [], []
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    s = slice(cuts[k], cuts[k + 1])
+                for k, s in stretches(shard):
                     steps = np.diff(keys[s], prepend=0)
                     planes = np.ascontiguousarray(np.concatenate([steps.view(np.uint8).reshape(-1, 8), times[s].astype(np.uint32).view(np.uint8).reshape(-1, 4)], 1).T)
                     shards.append(k)
@@ -257,7 +276,9 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
             own = ((w.counts(uniq) + 1) / (model.tokens + w.total + 1))[back]
             p = np.log10((n + model.strength * own) / (before + model.strength))
             q = np.round(np.clip(p / LOWEST, 0, 1) * STEPS).astype(np.uint16)
-            save(f"{w.folder}/pairs-{at}", build(key - key[0], "key") | {"first": key[:1], "p": q})
+            seen, first, rank = np.unique(context, return_index=True, return_inverse=True)
+            levels = build(seen - seen[0], "context") | build(np.append(first, len(key)), "child") | build(rank * w.total + word, "word")
+            save(f"{w.folder}/pairs-{at}", levels | {"base": seen[:1], "p": q})
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(key)], pa.int64())], ["shard", "size"])
 
         for (k,), part in runs(batches, ["shard"]):
@@ -273,10 +294,8 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
             yield close()
 
     written = texts.mapInArrow(count_pairs, "shard long, pairs binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(write_pairs, "shard long, size long")
-    have = {r.shard for r in written.collect()}
-    nothing = build(np.zeros(0, np.int64), "key") | {"first": np.zeros(1, np.int64), "p": np.zeros(0, np.uint16)}
-    for k in set(range(model.pair_shards)) - have:
-        save(f"{folder}/pairs-{k}", nothing)
+    if written.agg(F.sum("size")).first()[0] is None:
+        raise RuntimeError("a model of tokens without pairs")
     return model
 
 
@@ -285,6 +304,8 @@ def score(docs: DataFrame, model: Model, fold: int = 2, folds: int = 7) -> DataF
 
     A null or empty text is its end alone. held_out is false for rows without a
     doc_id, which don't train either. Without training rows all counts are 0.
+    Equal texts score alike. An empty table gives an empty result; extra
+    columns are not looked at.
     """
 
     def run(batches):
@@ -304,7 +325,7 @@ def score(docs: DataFrame, model: Model, fold: int = 2, folds: int = 7) -> DataF
                     keys = model.key(ids[a[known]], ids[b[known]])
                     known = known[np.argsort(keys)]
                     a, b = a[known], b[known]
-                    seen = model.pairs(model.key(ids[a], ids[b]), model.shard(place[a], n[a], place[b]))
+                    seen = model.pairs(ids[a], ids[b], model.shard(place[a], n[a], place[b]))
                     p[known] = np.where(np.isnan(seen), p[known], seen)
                 total = lambda x: np.bincount(t.doc, x, minlength=t.n_docs)
                 yield pa.RecordBatch.from_arrays(
