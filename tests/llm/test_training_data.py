@@ -156,6 +156,22 @@ def test_vectors(spark):
     assert topk.top_k(none).count() == 0 and vector_dedup.near_duplicates(none).count() == 0
 
 
+def test_topk_closes_annuli_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [rng.normal(size=16) for _ in range(40)]
+    rows = [rows[i % 40] / np.linalg.norm(rows[i % 40]) + rng.normal(size=16) * 0.03 for i in range(2000)]
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rows)]
+    rows += [(5000 + i, [0.25] * 16) for i in range(50)]  # equal vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "vec_id AS Block", "0 AS x", "1 AS `x.y`")
+    kw = {"first_rows": 60, "block_rows": 40}
+    seen = topk.opened(frame, **kw).collect()
+    assert len(seen) == 21 and all(r.all_rows == 2050 for r in seen)
+    assert sum(r.open_rows for r in seen) < 0.3 * sum(r.all_rows for r in seen) and sum(r.open_annuli for r in seen) < 0.5 * sum(r.annuli for r in seen)
+    X = {i: np.floor(1024 * np.array(v)) for i, v in rows}
+    top = sorted((i, rank, j, int(s)) for i in X if i % 100 == 0 for rank, (s, j) in enumerate(sorted(((X[i] @ x, j) for j, x in X.items() if j != i), key=lambda t: (-t[0], t[1]))[:10], 1))
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(frame, **kw).collect()) == top
+
+
 def test_vectors_that_share_an_id(spark):
     """One vec_id over different vectors and labels: as many rows come out as went in, each with its own links."""
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.999, 0.01, 0.0]
