@@ -24,6 +24,10 @@ def test_changes_merge_in_any_order(spark):
 def test_writes(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 2, None)], "id string, n int, s string")
     assert sorted(map(tuple, changelog.updates(base, spark.createDataFrame([("b", "new")], "id string, s string"), "id").collect())) == [("a", 1, "x"), ("b", 2, "new")]
+    twice = spark.createDataFrame([("b", "new", 7), ("b", None, 9), ("z", "x", 1)], "id string, s string, n int")
+    assert sorted(map(tuple, changelog.updates(base, twice, "id").collect())) == [("a", 1, "x"), ("b", 7, "new")]
+    some = spark.createDataFrame([("a", None, 5, ["s"]), ("b", "t", 6, [])], "id string, s string, n int, given array<string>")
+    assert sorted(map(tuple, changelog.updates(base, some, "id", "given").collect())) == [("a", 1, None), ("b", 2, None)]
     assert sorted(map(tuple, changelog.altered(base, {"id": "a", "s": None, "n": 9}, "id", ["s"]).collect()), key=str) == [("a", 1, None), ("b", 2, None)]
 
 
@@ -61,8 +65,11 @@ def test_score_resolution(spark):
     assert rules.evaluate(one, [s("a", 1, 40)], control={"mode": "off"}).count() == 0
     assert rules.evaluate(one, [s("a", 1, 4)], control={"scoreThreshold": 3}).first().action == "block"
     assert rules.evaluate(one, [s("a", 1, 4)], control={"scoreThreshold": "x"}).count() == 0
-    tie = [rule("first", priority=2, method=["GET"]), rule("second", priority=2, path={"prefix": "/"})]
-    assert rules.evaluate(one, tie).first().rule_ids == ["first"]
+    # Of equal priorities the rule that is probed first comes first, wherever it is listed.
+    tie = [rule("method", "log", 2, method=["GET"]), rule("query", "log", 2, query=[{"name": "q", "op": "exists"}]), rule("h2", "log", 2, headers=[{"name": "B", "op": "exists"}]), rule("h1", "log", 2, headers=[{"name": "A", "op": "exists"}]), rule("h3", "log", 2, headers=[{"name": "b", "op": "equals", "value": "2"}])]
+    tie += [rule("regex", "log", 2, path={"regex": "^/a"}), rule("long", "log", 2, path={"prefix": "/a"}), rule("short", "log", 2, path={"prefix": "/"}), rule("exact", "log", 2, path={"exact": "/a"}), rule("wide", "log", 2, ip=["0.0.0.0/0"]), rule("narrow", "log", 2, ip=["9.0.0.0/8", "10.0.0.0/8"]), rule("first", "log", 1, method=["GET"])]
+    all_of = requests(spark, [(1, "10.0.0.1", "GET", "/a", "q=1", {"a": ["1"], "b": ["2"]})])
+    assert rules.evaluate(all_of, tie).first().rule_ids == ["first", "narrow", "wide", "exact", "short", "long", "regex", "h2", "h3", "h1", "query", "method"]
 
 
 def test_classification():
@@ -90,8 +97,83 @@ def test_streaming_state_and_merge(spark, tmp_path):
     changes = streams.subscription(spark, log, "id string, type string, version double, node string", per_trigger=1)
     out = str(tmp_path / "state")
     changes.writeStream.foreachBatch(streams.merge_into(out)).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "state").iterdir())
-    assert {r.id: r.version for r in spark.read.parquet(f"{out}/v{last}").collect()} == {"k": 3.0, "d": 2.0, "r": 2.0}
+    assert {r.id: r.version for r in streams.merged(spark, out).collect()} == {"k": 3.0, "d": 2.0, "r": 2.0}
+    spark.createDataFrame([("k", "put", 9.0, "a"), ("z", "put", 1.0, "a")], "id string, type string, version double, node string").write.mode("append").parquet(log)
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "state").glob("b=*/v=*/*.parquet")}
+    changes.writeStream.foreachBatch(streams.merge_into(out)).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination()
+    assert {r.id: r.version for r in streams.merged(spark, out).collect()} == {"k": 9.0, "d": 2.0, "r": 2.0, "z": 1.0}
+    assert sum(p.exists() and p.stat().st_mtime_ns == t for p, t in untouched.items()) >= 2
+    # A batch that runs again, as after a failure, gives the same rows.
+    again = spark.createDataFrame([("k", "put", 11.0, "a")], "id string, type string, version double, node string")
+    for _ in range(2):
+        streams.merge_into(out)(again, 99)
+        assert {r.id: r.version for r in streams.merged(spark, out).collect()} == {"k": 11.0, "d": 2.0, "r": 2.0, "z": 1.0}
+
+
+def test_rate_windows_over_many_chunks(spark, tmp_path):
+    import random
+
+    rows = [("k", t * 7) for t in range(25000)] + [("j", 5)]
+    random.Random(1).shuffle(rows)
+    src = str(tmp_path / "src")
+    spark.createDataFrame(rows, "key string, t long").repartition(6).write.parquet(src)
+    want = {(r.key, r.time_ms): (r.allowed, r.suppressed) for r in streams.rate_windows(spark.read.parquet(src), "key", "t", 3, 1000).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    stream = streams.rate_windows_stream(spark.readStream.schema("key string, t long").parquet(src), "key", "t", 3, 1000)
+    got = {(r.key, r.time_ms): (r.allowed, r.suppressed) for r in streams.drain(stream, "many", checkpoint=str(tmp_path / "c")).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_excluded_origins_are_read_again_with_every_batch(spark, tmp_path):
+    log, at = str(tmp_path / "log"), str(tmp_path / "out")
+    kind = "node string, seq long"
+    switches = []
+    seen = []
+    read = lambda s: s.createDataFrame(switches, "node string, excluded boolean")
+    for batch, off in (([("a", 1), ("b", 1)], []), ([("a", 2), ("b", 2)], [("b", True)]), ([("a", 3), ("b", 3)], [("b", False), ("a", True)])):
+        switches[:] = off
+        spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(log)
+        rows = streams.each_period(spark.readStream.schema(kind).parquet(log), at, str(tmp_path / "c"), [lambda df, e: seen.append((e, df.count()))], read)
+    assert sorted(map(tuple, rows.collect())) == [("a", 1), ("a", 2), ("b", 1), ("b", 3)] and [n for _, n in seen] == [2, 1, 1]
+    changes = streams.subscription(spark, log, kind, id_value=None)
+    assert changes.isStreaming
+    current = spark.createDataFrame([("a", 0)], kind)
+    seen = streams.with_current(current, spark.createDataFrame([("a", 1, "patch")], kind + ", type string")).orderBy("seq").collect()
+    assert [r.type for r in seen] == ["put", "patch"]
+    one = str(tmp_path / "keyed")
+    spark.createDataFrame([("x", "put"), ("y", "put"), ("x", "end_txn")], "id string, type string").write.parquet(one)
+    assert [tuple(r) for r in streams.drain(streams.subscription(spark, one, "id string, type string", id_value="x"), "keyed").collect()] == [("x", "put")]
+
+
+def test_deep_chains_and_cycles(spark):
+    from tidemark.operators import metrics
+
+    rows = [(i + 1, i) for i in range(1, 200)] + [(500, 501), (501, 502), (502, 500), (600, 600), (700, 699), (301, 1)]
+    frame = spark.createDataFrame(rows, "pid long, ppid long")
+    assert sorted(r.pid for r in metrics.descendants(frame, 1).collect()) == [*range(2, 201), 301]
+    assert sorted(r.pid for r in metrics.descendants(frame, 501).collect()) == [500, 502]
+    assert metrics.descendants(frame.where("false"), 1).count() == 0
+
+
+def test_running_aggregates_equal_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.running import before, running
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.randint(0, 50) if i % 7 else None) for i in range(500)]
+    frame = spark.createDataFrame(rows, "k string, i long, v long")
+    w = Window.partitionBy("k").orderBy("i")
+    for n in (2, 16):
+        want = sorted(map(str, frame.withColumns({"s": F.sum("v").over(w), "m": F.max("v").over(w)}).collect()))
+        assert sorted(map(str, running(frame, ["k"], ["i"], {"s": ("sum", "v"), "m": ("max", "v")}, n).collect())) == want
+        want = sorted(map(str, frame.withColumn("_prev_v", F.lag("v").over(w)).collect()))
+        assert sorted(map(str, before(frame, ["k"], "i", ["v"], n).collect())) == want
+    assert running(frame.where("false"), ["k"], ["i"], {"s": ("sum", "v")}).count() == 0
 
 
 def test_sources(spark, tmp_path):

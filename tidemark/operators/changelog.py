@@ -102,11 +102,19 @@ def upserts(existing: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return existing.join(records.select(key), key, "left_anti").unionByName(records, allowMissingColumns=True)
 
 
-def updates(existing: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """Existing records with the patch's attributes put in; a null in the patch leaves the old value."""
-    names = [c for c in patch.columns if c != key]
-    renamed = patch.select(key, *[F.col(c).alias(f"_new_{c}") for c in names])
-    return existing.join(renamed, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in names else F.col(c) for c in existing.columns])
+def updates(existing: DataFrame, patch: DataFrame, key: str, given: str | None = None) -> DataFrame:
+    """Existing records with the patch's attributes put in, null included.
+
+    `given` names a column of the patch that lists the attributes a row sets;
+    without it a row sets all of the patch's. Of rows with the same key the one
+    with the greatest values counts, attribute by attribute in their order, so
+    a record stays one record. Keys that aren't there are left out.
+    """
+    names = [c for c in patch.columns if c not in (key, given) and c in existing.columns]
+    sets = {c: F.array_contains(given, c) if given else F.lit(True) for c in names}
+    one = patch.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*[F.struct(F.coalesce(sets[c], F.lit(False)).alias("set"), F.col(c).alias("new")).alias(c) for c in names])).alias("_p"))
+    joined = existing.join(one, F.col(key) == F.col("_key"), "left")
+    return joined.select(*[F.when(F.col(f"_p.{c}.set"), F.col(f"_p.{c}.new")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in existing.columns])
 
 
 def altered(existing: DataFrame, request: dict, key: str, allowed: list[str]) -> DataFrame:

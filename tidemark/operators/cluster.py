@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running
+
 CONNECTED = 2
 
 
@@ -135,9 +137,15 @@ def nearest_peer(peers: DataFrame, by: str) -> DataFrame:
 
 
 def sync_status(required: DataFrame, sockets: DataFrame) -> DataFrame:
-    """(db, state): required databases with their sockets; no socket is pending, behind its target syncing, else complete."""
-    joined = required.join(sockets, "db", "left")
-    return joined.select("db", F.when(F.col("received").isNull(), "pending").when(F.col("received") >= F.coalesce("target", F.lit(1.0)), "complete").otherwise("syncing").alias("state"))
+    """(db, state) of required databases (db, target) and of all that have a socket (db, received).
+
+    No socket, or one that received nothing, is pending; behind its target (no
+    target or 0: anything received) syncing; else complete.
+    """
+    joined = required.join(sockets, "db", "full")
+    nothing = F.coalesce(F.col("received"), F.lit(0.0)) == 0
+    wanted = F.when(F.coalesce("target", F.lit(0.0)) == 0, 1.0).otherwise(F.col("target"))
+    return joined.select("db", F.when(nothing, "pending").when(F.col("received") >= wanted, "complete").otherwise("syncing").alias("state"))
 
 
 def all_complete(status: DataFrame) -> DataFrame:
@@ -154,8 +162,7 @@ def required_ratchet(base: DataFrame, seen: DataFrame) -> DataFrame:
 
 def stall_deadline(arrivals: DataFrame, window_ms: float) -> DataFrame:
     """Adds deadline: the latest arrival so far and the window."""
-    w = Window.partitionBy("db").orderBy("poll").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return arrivals.withColumn("deadline", F.max("arrived").over(w) + window_ms)
+    return running(arrivals, ["db"], ["poll"], {"deadline": ("max", "arrived")}).withColumn("deadline", F.col("deadline") + window_ms)
 
 
 def gathered(peers: DataFrame, answers: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import shared_path
+
 LIMITS = ["reads", "writes", "readBytes", "writeBytes", "realTimeMessages", "realTimeBytes", "cpuTime", "storage"]
 
 
@@ -75,14 +79,26 @@ def child_cpu(samples: DataFrame, by: str, order: str) -> DataFrame:
     return sums.withColumn("delta", F.col("cpu") - F.lag("cpu").over(Window.partitionBy(by).orderBy(order))).where("delta > 0.001")
 
 
-def descendants(processes: DataFrame, root: int, depth: int = 64) -> DataFrame:
-    """(pid) of all descendants of a process, level by level in one recursive query."""
-    processes.select("pid", "ppid").createOrReplaceTempView("_tidemark_processes")
-    return processes.sparkSession.sql(f"""
-        WITH RECURSIVE tree(pid, depth) AS (
-            SELECT CAST({int(root)} AS BIGINT), 0 UNION ALL
-            SELECT p.pid, t.depth + 1 FROM _tidemark_processes p JOIN tree t ON p.ppid = t.pid WHERE p.pid <> p.ppid AND t.depth < {int(depth)})
-        SELECT DISTINCT pid FROM tree WHERE depth > 0""")
+def descendants(processes: DataFrame, root: int) -> DataFrame:
+    """(pid) of all descendants of a process, however deep; a cycle is walked once.
+
+    Each round doubles the length of the ways up that are known, until they have
+    met the root or an end, so n processes take log n rounds at most. Rounds
+    are written to the shared folder.
+    """
+    spark, path = processes.sparkSession, shared_path(processes.sparkSession, "descendants")
+    ways = processes.select(F.col("pid").cast("long").alias("pid"), F.col("ppid").cast("long").alias("up")).where(f"pid <> up and pid <> {int(root)}")
+    ways = ways.distinct().withColumn("found", F.col("up") == int(root))
+    for k in itertools.count():
+        ways.write.parquet(f"{path}/{k}")
+        ways = spark.read.parquet(f"{path}/{k}")
+        n, unsettled = ways.agg(F.count(F.lit(1)), F.count_if(~F.col("found"))).first()
+        if not unsettled or 1 << k > n:  # whoever isn't settled now walks in a circle
+            break
+        a, b = ways.alias("a"), ways.alias("b")
+        further = a.where("not found").join(b, F.col("a.up") == F.col("b.pid")).select("a.pid", "b.up", "b.found")
+        ways = ways.where("found").union(further).distinct()
+    return ways.where("found").select("pid").distinct()
 
 
 def index_percentiles(values: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:

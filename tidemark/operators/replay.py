@@ -6,10 +6,11 @@ and residency; see changelog for the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import changelog
+from tidemark.operators.running import before, running
 
 LOCAL_ONLY = 1
 
@@ -72,9 +73,10 @@ def starts(cursors: DataFrame, cutoff: float, system: bool = False) -> DataFrame
 
 def transactions(changes: DataFrame, by: str = "node") -> DataFrame:
     """Adds txn: consecutive changes of an origin with equal versions are one transaction; end_txn closes it."""
-    w = Window.partitionBy(by).orderBy("seq")
-    new = F.lag("version").over(w).isNull() | (F.lag("version").over(w) != F.col("version")) | (F.lag("type").over(w) == "end_txn")
-    return changes.withColumn("_new", new.cast("long")).withColumn("txn", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new").where("type <> 'end_txn'")
+    known = before(changes, [by], "seq", ["version", "type"])
+    new = F.col("_prev_version").isNull() | (F.col("_prev_version") != F.col("version")) | (F.col("_prev_type") == "end_txn")
+    numbered = running(known.withColumn("_new", new.cast("long")), [by], ["seq"], {"txn": ("sum", "_new")})
+    return numbered.where("type <> 'end_txn'").select(*changes.columns, "txn")
 
 
 def durable_prefix(frames: DataFrame, by: str) -> DataFrame:
@@ -86,7 +88,7 @@ def durable_prefix(frames: DataFrame, by: str) -> DataFrame:
 
 def monotone_watermark(changes: DataFrame, by: str, value: str) -> DataFrame:
     """Adds high: the highest value of an origin so far."""
-    return changes.withColumn("high", F.max(value).over(Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return running(changes, [by], ["seq"], {"high": ("max", value)})
 
 
 def handoff(snapshot: DataFrame, log: DataFrame, anchor: float) -> DataFrame:

@@ -5,12 +5,18 @@ score), score, blockStatus, shadow, activation and match, whose groups (ip,
 path.exact, path.prefix, path.regex, headers, query, method) must all hold.
 `plan_rules` sorts rules into usable, deferred and invalid ones and turns the
 usable ones into a table of conditions, one row each. Each rule has an anchor,
-its most selective group, and candidates come from one join per kind of
-anchor: IPv4 ranges by their /16 bucket, IPv6 and path prefixes by exact
-prefixes of the lengths that occur, exact paths, names and methods by equality,
-regexes behind a gate of all patterns at once. Candidates are then held against
-all their conditions. Requests are never compared with rules that share no
-anchor with them, and everything is a join Spark can split.
+its most selective group, and every row of it one or more keys: IPv4 ranges
+their /16 or /8 buckets, IPv6 and path prefixes, exact paths, methods and values
+that must be equal themselves, other values their names, and regexes one key
+behind a gate of all patterns at once. A request has the keys that could meet
+them, and one join on the key gives candidates, which are then held against all
+their conditions. Requests are read once and are not shuffled while the rules
+are few enough to go to every task; only ids of what holds are.
+
+Of equal priorities the rule found first comes first: by IPv4 range (the last
+to start, then to end, first), IPv6 address and prefix, exact path, path prefix
+(the shortest first), path regex, header (names in the order in which rules
+name them), query parameter and method, and within these in the order of rules.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.running import running
 
 # Fixed values of rule documents.
 ACTIONS = ["block", "log", "score", "challenge", "serve", "drop"]
@@ -33,7 +40,9 @@ DEFERRED_MATCHES = ["ja4", "ja4h", "model", "agent"]
 STRING_OPS = ["exists", "equals", "contains", "prefix", "regex"]
 BLOCK_STATUS, THRESHOLD = 403, 10.0
 
-CONDITIONS = "rule int, grp int, anchor boolean, kind string, name string, op string, value string, low long, high long"
+CONDITIONS = "rule int, grp int, anchor boolean, kind string, name string, op string, value string, low long, high long, probe long, keys array<string>"
+#: Up to this many conditions go to every task.
+FEW = 100_000
 RULES = "rule int, rule_id string, action string, priority double, score double, status int, shadow boolean, groups int"
 
 
@@ -136,13 +145,38 @@ def _groups(match: dict) -> list[list[tuple]]:
     return out
 
 
+def _probes(anchors: list[tuple[int, tuple]]) -> list[int]:
+    """When each anchor row (rule, condition) is probed."""
+    ranges = sorted((k for k, (_, c) in enumerate(anchors) if c[0] == "ip4"), key=lambda k: (anchors[k][1][4], anchors[k][1][5]))
+    place = {k: -i for i, k in enumerate(ranges)}
+    names = list(dict.fromkeys(c[1] for _, c in anchors if c[0] == "header"))
+    out = []
+    for k, (rule, (kind, name, _, value, _, _)) in enumerate(anchors):
+        turn = {"ip4": 0, "ip6": 1 if len(value or "") == 128 else 2, "exact": 3, "prefix": 4, "regex": 5, "header": 6, "query": 7, "method": 8}[kind]
+        first = {"ip4": (1 << 20) + place.get(k, 0), "prefix": len(value or ""), "header": names.index(name) if kind == "header" else 0}.get(kind, 0)
+        out.append((turn << 50) + (first << 25) + rule)
+    return out
+
+
+def _keys(kind: str, name: str | None, op: str | None, value: str | None, low: int | None, high: int | None) -> list[str]:
+    """The keys of an anchor row; a request that it holds for has at least one of them."""
+    if kind == "ip4":
+        shift = 16 if (high >> 16) - (low >> 16) < 256 else 24
+        return [f"ip{shift}:{n}" for n in range(low >> shift, (high >> shift) + 1)]
+    if kind in ("header", "query"):
+        return [f"{kind}={name}={value}" if op == "equals" else f"{kind}:{name}"]
+    return [kind] if kind == "regex" else [f"{kind}:{value}"]
+
+
 def plan_rules(spark: SparkSession, usable: list[dict], mode: str = "enforce") -> tuple[DataFrame, DataFrame]:
-    """(rules, conditions) of usable rules; their number in the list settles equal priorities."""
-    heads, conditions = [], []
+    """(rules, conditions) of usable rules, which `matches` and `decide` take."""
+    heads, conditions, anchors = [], [], []
     for i, r in enumerate(usable):
         groups = _groups(r["match"])
         heads.append((i, str(r["id"]), r["action"], float(r.get("priority") or 0), float(r.get("score") or 0), int(r.get("blockStatus") or BLOCK_STATUS), bool(r.get("shadow")) or mode == "monitor", len(groups)))
-        conditions += [(i, g, g == 0, *c) for g, group in enumerate(groups) for c in group]
+        anchors += [(i, c) for c in groups[0]]
+        conditions += [(i, g, False, *c, None, None) for g, group in enumerate(groups) if g for c in group]
+    conditions += [(i, 0, True, *c, probe, _keys(*c)) for (i, c), probe in zip(anchors, _probes(anchors), strict=True)]
     return spark.createDataFrame(heads, RULES), spark.createDataFrame(conditions, CONDITIONS)
 
 
@@ -154,17 +188,25 @@ def prepared(requests: DataFrame) -> DataFrame:
 
 
 def interval_join(left: DataFrame, number: str, ranges: DataFrame, wide: int = 256) -> DataFrame:
-    """Rows of `left` with each range (low, high) that holds their number.
+    """Rows of `left` with each range (low, high) of 32-bit numbers that holds their number.
 
-    Ranges are cut at multiples of 65,536 and joined by that bucket; ranges of
-    more than `wide` buckets are few and joined as intervals.
+    Ranges are cut at multiples of 65,536 and joined by that bucket; those of
+    `wide` buckets and more at multiples of 2^24, of which there are 256.
     """
-    low, high = F.shiftright("low", 16), F.shiftright("high", 16)
-    narrow = ranges.where(high - low < wide).withColumn("_bucket", F.explode(F.sequence(low, high)))
-    inside = F.col(number).between(F.col("low"), F.col("high"))
-    known = left.where(F.col(number).isNotNull())
-    near = known.withColumn("_bucket", F.shiftright(number, 16)).join(narrow, "_bucket").where(inside).drop("_bucket")
-    return near.unionByName(known.join(ranges.where(high - low >= wide), inside))
+    known, span = left.where(F.col(number).isNotNull()), F.shiftright("high", 16) - F.shiftright("low", 16)
+    found = []
+    for some, bits in ((ranges.where(span < wide), 16), (ranges.where(span >= wide), 24)):
+        cut = some.withColumn("_bucket", F.explode(F.sequence(F.shiftright("low", bits), F.shiftright("high", bits))))
+        found.append(known.withColumn("_bucket", F.shiftright(number, bits)).join(cut, "_bucket").where(F.col(number).between(F.col("low"), F.col("high"))).drop("_bucket"))
+    return found[0].unionByName(found[1])
+
+
+def prefix_max_ends(ranges: DataFrame) -> DataFrame:
+    """Ranges (low, high) with the highest end up to each, in order of low, then high; ranges of equal bounds are one another's peers.
+
+    A number is in no range before one whose `most` it exceeds.
+    """
+    return running(ranges, [], ["low", "high"], {"most": ("max", "high")})
 
 
 def prefix_join(left: DataFrame, text: str, prefixes: DataFrame, prefix: str, lengths: list[int]) -> DataFrame:
@@ -175,32 +217,40 @@ def prefix_join(left: DataFrame, text: str, prefixes: DataFrame, prefix: str, le
     return spread.withColumn("_head", F.substring(F.col(text), F.lit(1), F.col("_n"))).join(prefixes.withColumnRenamed(prefix, "_head"), "_head").drop("_n", "_head")
 
 
-def _lengths(conditions: DataFrame, kind: str) -> list[int]:
-    return sorted(r[0] for r in conditions.where((F.col("kind") == kind) & F.col("anchor")).select(F.length("value")).distinct().collect())
-
-
 def candidates(requests: DataFrame, conditions: DataFrame) -> DataFrame:
-    """(request columns, rule): distinct pairs whose anchor holds, or may hold where its operation isn't equality."""
+    """(request columns, rule): pairs whose anchor holds, or may hold where its operation isn't equality; not distinct.
+
+    Looks at the rules' own small table to learn which prefix lengths and
+    patterns there are; goes through the requests once.
+    """
     anchors = conditions.where("anchor")
-    of = lambda kind: anchors.where(F.col("kind") == kind)
-    cols = requests.columns
-    found = [
-        interval_join(requests, "ip4", of("ip4").select("rule", "low", "high")).select(*cols, "rule"),
-        prefix_join(requests.where("ip6 is not null"), "ip6", of("ip6").select("rule", "value"), "value", _lengths(conditions, "ip6")).select(*cols, "rule"),
-        requests.join(of("exact").select("rule", F.col("value").alias("path")), "path").select(*cols, "rule"),
-        prefix_join(requests, "path", of("prefix").select("rule", "value"), "value", _lengths(conditions, "prefix")).select(*cols, "rule"),
-        requests.join(of("method").select("rule", F.col("value").alias("method")), "method").select(*cols, "rule"),
-    ]
-    patterns = [r.value for r in of("regex").select("value").distinct().collect()]
-    if patterns:
-        gate = "|".join(f"(?:{p})" for p in patterns)
-        found.append(requests.where(F.col("path").rlike(gate)).join(of("regex").select("rule", "value"), F.expr("path rlike value")).select(*cols, "rule"))
-    for side in ("header", "query"):
-        names = F.array_distinct(F.transform("headers" if side == "header" else "query", lambda x: x["name"]))
-        spread = requests.withColumn("_name", F.explode(names))
-        found.append(spread.join(of(side).select("rule", F.col("name").alias("_name")).distinct(), "_name").select(*cols, "rule"))
-    # A request has few columns beside its key; pairs are made distinct by key and rule.
-    return reduce(DataFrame.unionByName, found).dropDuplicates(["req", "rule"])
+    lengths: dict[str, list[int]] = {"ip6": [], "prefix": []}
+    for r in anchors.where(F.col("kind").isin("ip6", "prefix")).select("kind", F.length("value").alias("n")).distinct().collect():
+        lengths[r.kind].append(r.n)
+    patterns = [r.value for r in anchors.where("kind = 'regex'").select("value").distinct().collect()]
+    none = F.array().cast("array<string>")
+
+    def heads(kind: str, text: str) -> Column:
+        every = [F.when(F.length(text) >= n, F.concat(F.lit(f"{kind}:"), F.substring(text, 1, n))) for n in sorted(lengths[kind])]
+        return F.array(*every) if every else none
+
+    def named(kind: str, entries: str, values) -> list[Column]:
+        by_name = F.transform(entries, lambda x: F.concat(F.lit(f"{kind}:"), x["name"]))
+        return [by_name, F.flatten(F.transform(entries, lambda x: F.transform(values(x), lambda v: F.concat(F.lit(f"{kind}="), x["name"], F.lit("="), v))))]
+
+    gate = F.array(F.when(F.col("path").rlike("|".join(f"(?:{p})" for p in patterns)), "regex")) if patterns else none
+    keys = [
+        F.array(F.concat(F.lit("ip16:"), F.shiftright("ip4", 16)), F.concat(F.lit("ip24:"), F.shiftright("ip4", 24)), F.concat(F.lit("exact:"), "path"), F.concat(F.lit("method:"), "method")),
+        heads("ip6", "ip6"), heads("prefix", "path"), gate,
+        *named("header", "headers", lambda h: h["values"]), *named("query", "query", lambda q: F.array(q["value"])),
+    ]
+    spread = requests.withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.concat(*[F.coalesce(k, none) for k in keys])))))
+    return spread.join(_small(anchors.select("rule", F.explode("keys").alias("_key")).distinct(), conditions), "_key").drop("_key")
+
+
+def _small(rules: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Broadcast if the rules have few conditions."""
+    return F.broadcast(rules) if conditions.count() <= FEW else rules
 
 
 def _holds() -> Column:
@@ -227,11 +277,11 @@ def _holds() -> Column:
 
 
 def matches(requests: DataFrame, rules: DataFrame, conditions: DataFrame) -> DataFrame:
-    """(req, rule columns) of every rule all of whose groups hold."""
+    """(req, rule columns, probe) of every rule all of whose groups hold; probe settles equal priorities."""
     pairs = candidates(prepared(requests), conditions)
-    held = pairs.join(conditions.select("rule", "grp", "kind", "name", "op", "value", "low", "high"), "rule")
-    whole = held.where(_holds()).groupBy("req", "rule").agg(F.size(F.collect_set("grp")).alias("_held"))
-    return whole.join(rules, "rule").where(F.col("_held") == F.col("groups")).drop("_held", "groups")
+    held = pairs.join(_small(conditions.select("rule", "grp", "kind", "name", "op", "value", "low", "high", "probe"), conditions), "rule").where(_holds()).select("req", "rule", "grp", "probe")
+    whole = held.groupBy("req", "rule").agg(F.size(F.collect_set("grp")).alias("_held"), F.min("probe").alias("probe"))
+    return whole.join(_small(rules, conditions), "rule").where(F.col("_held") == F.col("groups")).drop("_held", "groups")
 
 
 def statistics(matched: DataFrame, time: str | None = None) -> DataFrame:
@@ -261,7 +311,7 @@ def decide(matched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A request has at most as many matches as there are rules, so they are
     folded as one array.
     """
-    ordered = matched.groupBy("req").agg(F.array_sort(F.collect_list(F.struct("priority", "rule", "rule_id", "action", "score", "status", "shadow"))).alias("_m"))
+    ordered = matched.groupBy("req").agg(F.array_sort(F.collect_list(F.struct("priority", "probe", "rule", "rule_id", "action", "score", "status", "shadow"))).alias("_m"))
     logs = F.transform(F.filter("_m", lambda r: r["action"] == "log"), lambda r: r["rule_id"])
     both = ordered.select("req", logs.alias("_logs"), _track(False, threshold).alias("_r"), _track(True, threshold).alias("_s"))
     blocked, shadowed, logged = F.col("_r.done"), F.col("_s.done"), F.size("_logs") > 0
@@ -282,3 +332,21 @@ def evaluate(requests: DataFrame, rules: list[dict], node: dict | None = None, m
     usable = [] if mode == "off" else classify(rules, node, mode)["usable"]
     heads, conditions = plan_rules(requests.sparkSession, usable, mode)
     return decide(matches(requests, heads, conditions), threshold)
+
+
+def problems_of(rules: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Adds problems: the names of the checks that a record fails; a check that gives null fails."""
+    return rules.withColumn("problems", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])))
+
+
+CONTROL, MODES = "control", ["enforce", "monitor", "off"]
+
+
+def with_control(rows: DataFrame, mode: str | None = None, threshold: float | None = None) -> DataFrame:
+    """Rows (id, mode, scoreThreshold) with the control row set; what isn't given stays as it is, and there is one such row."""
+    usable = isinstance(threshold, (int, float)) and not isinstance(threshold, bool) and math.isfinite(threshold) and threshold > 0
+    if (mode is None and threshold is None) or (mode is not None and mode not in MODES) or (threshold is not None and not usable):
+        raise ValueError("mode must be one of enforce, monitor, off, and scoreThreshold a finite positive number")
+    of = lambda c, value, kind: F.coalesce(F.lit(value).cast(kind), F.max(F.when(F.col("id") == CONTROL, F.col(c)))).alias(c)
+    row = rows.agg(of("mode", mode, "string"), of("scoreThreshold", threshold, "double")).select(F.lit(CONTROL).alias("id"), "mode", "scoreThreshold")
+    return rows.where(F.coalesce(F.col("id") != CONTROL, F.lit(True))).select("id", "mode", "scoreThreshold").unionByName(row)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import rules
+from tidemark.operators import changelog, rules
 
 from .tables import registrar, table
 
@@ -20,21 +20,24 @@ RULES = [
     {"id": "bot", "priority": 30, "phase": "request", "action": "score", "score": 6, "match": {"headers": [{"name": "User-Agent", "op": "contains", "value": "bot"}]}},
     {"id": "shade", "priority": 1, "phase": "request", "action": "block", "shadow": True, "match": {"headers": [{"name": "x-host", "op": "prefix", "value": "blog."}], "method": ["POST"]}},
     {"id": "spam", "priority": 2, "phase": "request", "action": "block", "match": {"headers": [{"name": "X-Host", "op": "equals", "value": "spam-farm.example.org"}]}},
+    {"id": "admin", "priority": 30, "phase": "request", "action": "score", "score": 5, "match": {"path": {"exact": "/admin"}}},
     {"id": "off", "enabled": False, "priority": 0, "phase": "request", "action": "block", "match": {"method": ["GET"]}},
     {"id": "later", "priority": 0, "phase": "request", "action": "challenge", "match": {"method": ["GET"]}},
     {"id": "bad", "priority": 0, "phase": "request", "action": "block", "match": {"path": {"regex": "(a)\\1"}}},
 ]
 
+#: Requests and what matches them; `rule` is when a rule is probed, which settles equal priorities.
 REQUESTS = r"""q AS (SELECT page_id AS req, page_id % 256 AS d, (page_id // 256) % 256 AS c, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
-    regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query,
+    regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, CASE WHEN page_id % 11 = 0 THEN '/admin' ELSE regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) END AS path, regexp_extract(url, '\?([^#]*)', 1) AS query,
     CASE WHEN page_id % 5 = 0 THEN 'crawler-bot/1' ELSE 'browser' END AS agent FROM pages),
   m AS (SELECT req, 0 AS rule, 'net' AS id, 'score' AS action, 5 AS priority, 4.0 AS score, 403 AS status, FALSE AS shadow FROM q WHERE (c = 0 AND d < 64) OR (c = 1 AND d < 128)
-    UNION ALL SELECT req, 1, 'fr', 'log', 10, 0, 403, FALSE FROM q WHERE starts_with(path, '/fr/')
-    UNION ALL SELECT req, 2, 'digits', 'score', 20, 7, 403, FALSE FROM q WHERE regexp_matches(path, '^/[a-z]+/[5-9][0-9]*')
-    UNION ALL SELECT req, 3, 'ref', 'block', 30, 0, 429, FALSE FROM q WHERE regexp_matches(query, '(^|&)ref(=|&|$)') AND method = 'GET'
-    UNION ALL SELECT req, 4, 'bot', 'score', 30, 6, 403, FALSE FROM q WHERE contains(agent, 'bot')
-    UNION ALL SELECT req, 5, 'shade', 'block', 1, 0, 403, TRUE FROM q WHERE starts_with(host, 'blog.') AND method = 'POST'
-    UNION ALL SELECT req, 6, 'spam', 'block', 2, 0, 403, FALSE FROM q WHERE host = 'spam-farm.example.org')"""
+    UNION ALL SELECT req, 40, 'fr', 'log', 10, 0, 403, FALSE FROM q WHERE starts_with(path, '/fr/')
+    UNION ALL SELECT req, 50, 'digits', 'score', 20, 7, 403, FALSE FROM q WHERE regexp_matches(path, '^/[a-z]+/[5-9][0-9]*')
+    UNION ALL SELECT req, 70, 'ref', 'block', 30, 0, 429, FALSE FROM q WHERE regexp_matches(query, '(^|&)ref(=|&|$)') AND method = 'GET'
+    UNION ALL SELECT req, 60, 'bot', 'score', 30, 6, 403, FALSE FROM q WHERE contains(agent, 'bot')
+    UNION ALL SELECT req, 61, 'shade', 'block', 1, 0, 403, TRUE FROM q WHERE starts_with(host, 'blog.') AND method = 'POST'
+    UNION ALL SELECT req, 62, 'spam', 'block', 2, 0, 403, FALSE FROM q WHERE host = 'spam-farm.example.org'
+    UNION ALL SELECT req, 30, 'admin', 'score', 30, 5, 403, FALSE FROM q WHERE path = '/admin')"""
 
 #: The first decision of one track, from running sums in order of priority.
 TRACK = """SELECT req, arg_min(id, o) FILTER (WHERE hit) AS one, arg_min(action, o) FILTER (WHERE hit) AS action, arg_min(status, o) FILTER (WHERE hit) AS status, min(o) FILTER (WHERE hit) AS o, arg_min(run, o) FILTER (WHERE hit) AS total, max(run) AS most
@@ -44,7 +47,7 @@ TRACK = """SELECT req, arg_min(id, o) FILTER (WHERE hit) AS one, arg_min(action,
 def requests(spark, sf_dir) -> DataFrame:
     url, p = F.col("url"), F.col("page_id")
     headers = F.create_map(F.lit("X-Host"), F.array(S.url_host(url)), F.lit("User-Agent"), F.array(F.when(p % 5 == 0, "crawler-bot/1").otherwise("browser")))
-    return table(spark, sf_dir, "pages").select(p.alias("req"), F.concat_ws(".", F.lit("10.0"), F.expr("(page_id div 256) % 256"), p % 256).alias("ip"), F.when(p % 3 == 0, "post").otherwise("get").alias("method"), S.url_path(url).alias("path"), S.url_query(url).alias("query"), headers.alias("headers"))
+    return table(spark, sf_dir, "pages").select(p.alias("req"), F.concat_ws(".", F.lit("10.0"), F.expr("(page_id div 256) % 256"), p % 256).alias("ip"), F.when(p % 3 == 0, "post").otherwise("get").alias("method"), F.when(p % 11 == 0, "/admin").otherwise(S.url_path(url)).alias("path"), S.url_query(url).alias("query"), headers.alias("headers"))
 
 
 def _matched(spark, sf_dir) -> DataFrame:
@@ -87,6 +90,31 @@ def rule_matches(spark, sf_dir) -> DataFrame:
     return _matched(spark, sf_dir).groupBy("req").agg(F.count(F.lit(1)).alias("n_rules"))
 
 
+@query("""SELECT l_orderkey AS low, l_orderkey + l_partkey AS high, max(l_orderkey + l_partkey) OVER (ORDER BY l_orderkey, l_orderkey + l_partkey) AS most FROM lineitem""")
+def interval_prefix_max(spark, sf_dir) -> DataFrame:
+    """Order lines as ranges of numbers, sorted, with the highest end up to each."""
+    return rules.prefix_max_ends(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("low"), (F.col("l_orderkey") + F.col("l_partkey")).alias("high")))
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 2 = 0 THEN 'off' END AS mode, c_acctbal AS "scoreThreshold" FROM customer WHERE c_custkey <> 7
+          UNION ALL SELECT 'control', 'monitor', c_acctbal FROM customer WHERE c_custkey = 7""")
+def control_row(spark, sf_dir) -> DataFrame:
+    """The mode is set; the threshold, which another call set, stays."""
+    c = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.when(c == 7, rules.CONTROL).otherwise(c.cast("string")).alias("id"), F.when(c % 2 == 0, "off").alias("mode"), F.col("c_acctbal").alias("scoreThreshold"))
+    return rules.with_control(rows, mode="monitor")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -1.0 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+          CASE WHEN c_custkey % 3 = 0 THEN 'balance,segment' WHEN c_acctbal < 0 THEN 'balance' ELSE '' END AS problems FROM customer""")
+def alter_revalidate(spark, sf_dir) -> DataFrame:
+    """Allowed fields are put in, null included, one that isn't allowed stays out, and the whole record is checked again."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_name")
+    patch = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit(-1.0).alias("c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"))
+    done = rules.problems_of(changelog.updates(c, patch, "c_custkey"), {"balance": F.col("c_acctbal") >= 0, "segment": F.col("c_mktsegment").isNotNull()})
+    return done.select("c_custkey", "c_acctbal", "c_mktsegment", F.array_join("problems", ",").alias("problems"))
+
+
 NETS = "SELECT s_suppkey AS net, (10::BIGINT << 24) + s_suppkey * 64 AS low, (10::BIGINT << 24) + s_suppkey * 64 + CASE WHEN s_suppkey % 3 = 0 THEN 63 ELSE 15 END AS high FROM supplier"
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import topic_regex
-from tidemark.operators.changelog import stamp
+from tidemark.operators.changelog import latest, stamp
+from tidemark.sources.shared import shared_path
 
 
 def subscription(spark: SparkSession, path: str, schema, id_value=None, per_trigger: int | None = None) -> DataFrame:
@@ -50,35 +48,93 @@ def retained(messages: DataFrame, topic: str) -> DataFrame:
     return messages.groupBy(topic).agg(F.max_by(F.struct(*rest), stamp()).alias("_m")).select(topic, *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
-def merge_into(path: str, key: str = "id"):
-    """A foreachBatch function that keeps winning changes of each key in a parquet folder of versions.
+def merge_into(path: str, key: str = "id", buckets: int = 64):
+    """A foreachBatch function that keeps winning changes of each key in a folder, bucket by bucket.
 
-    Each batch writes a new version and names it last, so a batch that runs
-    again after a failure finds the version before it and gives the same rows.
+    A batch rewrites only the buckets that its keys fall into, each as a new
+    version `b=<bucket>/v=<epoch>`, and then names the current version of every
+    bucket in `current/e=<epoch>`; `merged` reads through the latest of these. A
+    batch that runs again finds the pointer of the batch before it and gives the
+    same rows. Versions that the last two pointers don't name are removed.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        from tidemark.operators.changelog import latest
-
         spark = batch.sparkSession
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch, allowMissingColumns=True)
-        latest(rows, key).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        before = {b: v for b, v in _pointer(spark, path, before=epoch).items()}
+        rows = batch.withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("b").parquet(f"{path}/incoming/e={epoch}")  # the source is read once
+        incoming = spark.read.schema(rows.schema).parquet(f"{path}/incoming/e={epoch}")
+        touched = sorted(r.b for r in incoming.select("b").distinct().collect())  # `buckets` at most
+        held = [f"{path}/b={b}/v={before[b]}" for b in touched if b in before]
+        if held:
+            incoming = incoming.unionByName(spark.read.parquet(*held), allowMissingColumns=True)
+        for_bucket = latest(incoming.drop("b"), key).withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        for_bucket.withColumn("_b", F.col("b")).write.mode("overwrite").partitionBy("_b").parquet(f"{path}/merged/e={epoch}")
+        fs, root = _folder(spark, path)
+        at = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *parts]))
+        for b in touched:
+            fs.mkdirs(at(f"b={b}"))
+            fs.delete(at(f"b={b}", f"v={epoch}"), True)
+            fs.rename(at("merged", f"e={epoch}", f"_b={b}"), at(f"b={b}", f"v={epoch}"))
+        now = before | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(sorted(now.items()), "b int, v long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current/e={epoch}")
+        for b in touched:
+            if b in before:
+                older = [s.getPath() for s in fs.listStatus(at(f"b={b}"))]
+                for p in older:
+                    if int(p.getName()[2:]) < before[b]:
+                        fs.delete(p, True)
+        for old in ("incoming", "merged"):
+            fs.delete(at(old, f"e={epoch}"), True)
 
     return run
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder name inside the folder that driver and executors share (spark.checkpoint.dir).
+def _folder(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def _pointer(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The version of each bucket that the latest pointer (of a batch before this one) names."""
+    fs, root = _folder(spark, f"{path}/current")
+    done = [int(s.getPath().getName()[2:]) for s in (fs.listStatus(root) if fs.exists(root) else []) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    done = [e for e in done if before is None or e < before]
+    return {r.b: r.v for r in spark.read.parquet(f"{path}/current/e={max(done)}").collect()} if done else {}
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that merge_into keeps at a path, of its latest finished batch."""
+    return spark.read.option("mergeSchema", True).parquet(*[f"{path}/b={b}/v={v}" for b, v in sorted(_pointer(spark, path).items())]).drop("b")
+
+
+def excluding_stream(changes: DataFrame, switches) -> DataFrame:
+    """Changes of a stream without those of origins that are switched off, by a table that is read again with every batch.
+
+    `switches` gives rows (node, excluded) when called with the session; of a
+    node's rows any that excludes it counts. Runs inside foreachBatch, so that
+    an origin put on the list or taken off it takes effect with the next batch.
+    """
+    off = switches(changes.sparkSession).where("excluded").select("node").distinct()
+    return changes.join(off, "node", "left_anti").select(*changes.columns)
+
+
+def each_period(stream: DataFrame, path: str, checkpoint: str, hooks: list, switches=None):
+    """Runs a stream over all that is there; each micro-batch goes to every hook, a function of (rows, epoch), and to files.
 
-    Where the session names none, as in tests on one machine, a temporary folder is set for this session.
+    Rows of excluded origins are left out first (excluding_stream). A batch
+    that runs again overwrites its own files.
     """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return f"{(named or sc.getCheckpointDir()).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        rows = excluding_stream(batch, switches) if switches else batch
+        rows.write.mode("overwrite").parquet(f"{path}/_batch={epoch}")
+        kept = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/_batch={epoch}")
+        for hook in hooks:
+            hook(kept, epoch)
+
+    stream.writeStream.foreachBatch(run).trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
@@ -141,15 +197,22 @@ def rate_windows(events: DataFrame, key: str, time_ms: str, limit: int, interval
 
 
 def rate_windows_stream(events: DataFrame, key: str, time_ms: str, limit: int, interval_ms: int) -> DataFrame:
-    """The same over a stream, with the open window of each key as state."""
+    """The same over a stream, with the open window of each key as state.
+
+    What a key brings in one trigger is sorted by time, 8 bytes a row; events
+    that come after later ones were decided count at the time of their trigger.
+    """
 
     def run(k, batches, state):
+        import numpy as np
         import pandas as pd
 
         opened, count, held = state.get if state.exists else (None, 0, 0)
-        for batch in batches:
+        # A trigger's rows of a key may come in several chunks, in any order between them.
+        whole = np.sort(np.concatenate([b["time_ms"].to_numpy(np.int64) for b in batches]))
+        for at in range(0, len(whole), 65536):
             allowed, summary = [], []
-            times = sorted(batch["time_ms"].tolist())
+            times = whole[at : at + 65536].tolist()
             for t in times:
                 if opened is None or t - opened >= interval_ms:
                     summary.append(held)
