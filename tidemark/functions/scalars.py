@@ -216,6 +216,13 @@ def epoch_ms(time: Column) -> Column:
     return F.coalesce(number, F.when(strict, F.unix_micros(stamp) / 1000.0))
 
 
+def start_time_ms(text: Column, number: Column | None = None) -> Column:
+    """Milliseconds of a number, or of ISO-8601 text with Z or an offset; null for any other text, which a caller rejects."""
+    strict = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,3})?(?:Z|[+-]\d{2}:\d{2})$")
+    parsed = F.when(strict, F.unix_micros(F.try_to_timestamp(text)) / 1000.0)
+    return parsed if number is None else F.coalesce(F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number), parsed)
+
+
 def iso_utc(ms: Column) -> Column:
     """ISO-8601 UTC text of milliseconds."""
     return F.date_format(F.timestamp_millis(ms.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -10,9 +10,11 @@ versions of different nodes are settled by the higher node name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running
+
 STAMP = ["version", "node"]
 
 
@@ -143,8 +145,9 @@ def as_puts(records: DataFrame, key: str, version: Column, node: Column) -> Data
 
 
 def nearest(left: DataFrame, right: DataFrame, by: str, time: str, columns: list[str]) -> DataFrame:
-    """As-of join: the last row of `right` at or before each row of `left`."""
-    both = left.select("*", F.lit(None).cast(right.select(F.struct(*columns).alias("s")).schema["s"].dataType).alias("_r"), F.lit(1).alias("_side")).unionByName(right.select(by, time, F.struct(*columns).alias("_r"), F.lit(0).alias("_side")), allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    return found.select(*left.columns, *[F.col(f"_last.{c}").alias(f"asof_{c}") for c in columns])
+    """As-of join: the last row of `right` at or before each row of `left`; of several at that time the one with the greatest values."""
+    found = F.struct(F.col(time).alias("at"), F.struct(*columns).alias("row"))
+    kind = right.select(found.alias("s")).schema["s"].dataType
+    both = left.select("*", F.lit(None).cast(kind).alias("_right"), F.lit(1).alias("_side")).unionByName(right.select(by, time, found.alias("_right"), F.lit(0).alias("_side")), allowMissingColumns=True)
+    known = running(both, [by], [time, "_side"], {"_last": ("max", "_right")}).where("_side = 1")
+    return known.select(*left.columns, *[F.col(f"_last.row.{c}").alias(f"asof_{c}") for c in columns])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import before, running, stretch
 from tidemark.sources.shared import shared_path
 
 LIMITS = ["reads", "writes", "readBytes", "writeBytes", "realTimeMessages", "realTimeBytes", "cpuTime", "storage"]
@@ -76,7 +77,7 @@ def child_cpu(samples: DataFrame, by: str, order: str) -> DataFrame:
     """Seconds of CPU since the sample before, where over a thousandth; samples hold ticks of 1/100 s."""
     total = F.col("utime") + F.col("stime") + F.col("cutime") + F.col("cstime")
     sums = samples.groupBy(by, order).agg((F.sum(total) / 100).alias("cpu"))
-    return sums.withColumn("delta", F.col("cpu") - F.lag("cpu").over(Window.partitionBy(by).orderBy(order))).where("delta > 0.001")
+    return before(sums, [by], order, ["cpu"]).withColumn("delta", F.col("cpu") - F.col("_prev_cpu")).drop("_prev_cpu").where("delta > 0.001")
 
 
 def descendants(processes: DataFrame, root: int) -> DataFrame:
@@ -108,8 +109,8 @@ def index_percentiles(values: DataFrame, by: list[str], value: str, at: dict[str
     rows in its window than it has distinct values.
     """
     counted = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by)
-    placed = counted.withColumn("_n", F.sum("_c").over(w)).withColumn("_end", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    placed = running(counted, by, [value], {"_end": ("sum", "_c")}).join(sizes, by)
     out = [F.max("_n").alias("count"), (F.sum(F.col(value) * F.col("_c")) / F.max("_n")).alias("mean")]
     for name, q in at.items():
         place = F.least(F.col("_n") - 1, F.floor(F.col("_n") * q))
@@ -120,10 +121,12 @@ def index_percentiles(values: DataFrame, by: list[str], value: str, at: dict[str
 def backpressure(samples: DataFrame, by: str, order: str, window_s: float = 30.0) -> DataFrame:
     """(by, ratio): an exponentially weighted share of paused time; each step is (r T + paused d) / (T + d).
 
-    A step is the affine map r -> a r + b, and maps compose, so runs of a
-    hundred samples are folded apart before the run results are.
+    A step is the affine map r -> a r + b, and maps compose, so runs of up to a
+    hundred samples are folded first, then the runs of a stretch of the order,
+    then the stretches of a key.
     """
-    numbered = samples.withColumn("_run", F.expr("(row_number() over (partition by {0} order by {1}) - 1) div 100".format(by, order)))
+    numbered = samples.withColumn("_stretch", stretch(samples, order))
+    numbered = numbered.withColumn("_run", F.expr(f"(row_number() over (partition by {by}, _stretch order by {order}) - 1) div 100"))
     a = F.lit(window_s) / (F.lit(window_s) + F.col("duration"))
     b = F.when(F.col("paused"), F.col("duration")).otherwise(0.0) / (F.lit(window_s) + F.col("duration"))
 
@@ -133,8 +136,8 @@ def backpressure(samples: DataFrame, by: str, order: str, window_s: float = 30.0
         done = F.aggregate("_l", start, lambda s, x: F.struct((s["_a"] * x["_a"]).alias("_a"), (s["_b"] * x["_a"] + x["_b"]).alias("_b")))
         return listed.select(*keys, done.alias("_m")).select(*keys, F.col("_m._a").alias("_a"), F.col("_m._b").alias("_b"))
 
-    runs = fold(numbered.select(by, "_run", F.col(order).alias("_t"), a.alias("_a"), b.alias("_b")), [by, "_run"], "_t")
-    return fold(runs, [by], "_run").select(by, F.col("_b").alias("ratio"))
+    runs = fold(numbered.select(by, "_stretch", "_run", F.col(order).alias("_t"), a.alias("_a"), b.alias("_b")), [by, "_stretch", "_run"], "_t")
+    return fold(fold(runs, [by, "_stretch"], "_run"), [by], "_stretch").select(by, F.col("_b").alias("ratio"))
 
 
 def throughput(progress: DataFrame, by: str, time: str, size: str, window: str = "180 seconds") -> DataFrame:

@@ -97,8 +97,8 @@ def handoff(snapshot: DataFrame, log: DataFrame, anchor: float) -> DataFrame:
 
 
 def copy_order(tables: DataFrame) -> DataFrame:
-    """Tables in the order of a copy: by rank, then as they were made."""
-    return tables.orderBy("rank", "made")
+    """Tables with their place in the order of a copy: by rank, then as they were made, then by name."""
+    return running(tables.withColumn("_one", F.lit(1).cast("long")), [], ["rank", "made", "tbl"], {"place": ("sum", "_one")}).drop("_one")
 
 
 def last_per_source(entries: DataFrame) -> DataFrame:

@@ -79,3 +79,11 @@ def index_scan(df: DataFrame, attribute: str, key: str) -> DataFrame:
 def first_passing(df: DataFrame, test, order: list[str]) -> DataFrame:
     """The first row, in an order, that passes a test."""
     return df.where(test).orderBy(*order).limit(1)
+
+
+def prefix_range(df: DataFrame, keys: list[str], prefix: list) -> DataFrame:
+    """Records whose composite key begins with these values, in key order."""
+    out = df
+    for name, value in zip(keys, prefix, strict=False):
+        out = out.where(F.col(name) == typed(df, name, value))
+    return out.orderBy(*keys)

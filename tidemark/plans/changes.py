@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import changelog, replay
+from tidemark.sources.shared import shared_path
+from tidemark.streaming import streams
 
 from .tables import registrar, table
 
@@ -60,6 +62,74 @@ def counter_merge(spark, sf_dir) -> DataFrame:
     return changelog.counters(log(spark, sf_dir))
 
 
+@query(f"""WITH {SINCE}, s AS (SELECT id, arg_max(event_id % 7, (version, node)) AS s, max((version, node)) AS put_at FROM since WHERE event_type = 'signup' GROUP BY 1)
+           SELECT id, 'c' AS field, (coalesce(any_value(s), 0) + coalesce(sum(event_id % 10) FILTER (WHERE put_at IS NULL OR (version, node) > put_at), 0))::DOUBLE AS total
+           FROM since LEFT JOIN s USING (id) WHERE event_type = 'purchase' GROUP BY 1""")
+def counter_set_then_add(spark, sf_dir) -> DataFrame:
+    """A signup sets the counter, purchases add to it; what came before the signup is gone."""
+    rows = log(spark, sf_dir)
+    signup = F.map_concat("value", F.create_map(F.lit("c"), (F.col("event_id") % 7).cast("string")))
+    return changelog.counters(rows.withColumn("value", F.when(F.col("event_type") == "signup", signup).otherwise(F.col("value"))))
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, 'put' AS type, c_acctbal AS version, 'n' || (c_nationkey % 3) AS node, c_name AS name, c_mktsegment AS segment FROM customer""")
+def copies_as_puts(spark, sf_dir) -> DataFrame:
+    """Records sent as a copy are puts that keep the origin of their last write."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
+    puts = changelog.as_puts(c, "c_custkey", F.col("c_acctbal"), F.concat(F.lit("n"), F.col("c_nationkey") % 3))
+    return puts.select("id", "type", "version", "node", F.col("value")["c_name"].alias("name"), F.col("value")["c_mktsegment"].alias("segment"))
+
+
+@query("""SELECT 'p' || p_partkey AS tbl, p_size AS rank, p_partkey % 13 AS made, row_number() OVER (ORDER BY p_size, p_partkey % 13, 'p' || p_partkey) AS place FROM part""")
+def copy_order(spark, sf_dir) -> DataFrame:
+    p = F.col("p_partkey")
+    return replay.copy_order(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), p).alias("tbl"), F.col("p_size").alias("rank"), (p % 13).alias("made")))
+
+
+@query(f"""SELECT id, count(*) FILTER (WHERE type = 'put') AS puts, count(*) AS n FROM (SELECT id, type FROM ({LOG}) UNION ALL SELECT c_custkey::VARCHAR, 'put' FROM customer) GROUP BY 1""")
+def subscribe_with_current(spark, sf_dir) -> DataFrame:
+    """Customers as current state, then the changes of the log."""
+    current = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    return streams.with_current(current, log(spark, sf_dir).select("id", "type")).groupBy("id").agg(F.count_if(F.col("type") == "put").alias("puts"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT id, type, version, node FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, node DESC) AS r FROM ({LOG})) WHERE r = 1""")
+def stream_merge(spark, sf_dir) -> DataFrame:
+    """The log as a stream, merged batch by batch into buckets of winning changes, read through the last pointer."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    kind = F.when(F.col("event_type") == "signup", "put").when(F.col("event_type") == "error", "delete").otherwise("patch")
+    rows = e.select(F.col("user_id").cast("string").alias("id"), kind.alias("type"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("double").alias("version"), F.concat(F.lit("n"), F.col("event_id") % 3).alias("node"))
+    path = shared_path(spark, "merged")
+    rows.writeStream.foreachBatch(streams.merge_into(path, buckets=8)).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start().awaitTermination()
+    return streams.merged(spark, path)
+
+
+@query("""SELECT event_id, 'n' || (event_id % 3) AS node FROM events WHERE event_id % 3 NOT IN (SELECT n_nationkey % 3 FROM nation WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey = 4))""")
+def stream_exclusions(spark, sf_dir) -> DataFrame:
+    """The log as a stream; origins that a table switches off, read again with every batch, are left out."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+
+    def switches(session):
+        return table(session, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey") % 3).alias("node"), (F.col("n_nationkey") == 4).alias("excluded"))
+
+    path = shared_path(spark, "kept")
+    return streams.each_period(e.select("event_id", F.concat(F.lit("n"), F.col("event_id") % 3).alias("node")), f"{path}/rows", f"{path}/checkpoint", [], switches)
+
+
+@query("""SELECT event_type AS metric, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1""")
+def stream_usage_hook(spark, sf_dir) -> DataFrame:
+    """A hook rolls every micro-batch up into files of its own; usage is their sum."""
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    path = shared_path(spark, "usage")
+
+    def record(rows, epoch):
+        rows.groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{path}/used/_epoch={epoch}")
+
+    streams.each_period(e.select("event_type", "value"), f"{path}/rows", f"{path}/checkpoint", [record])
+    used = spark.read.schema("metric string, n long, total double").parquet(f"{path}/used")
+    return used.groupBy("metric").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
 @query(f"""SELECT seq FROM ({LOG}) WHERE event_id % 3 <> 2 OR event_id % 5 = 1""")
 def identity_tie_dedupe(spark, sf_dir) -> DataFrame:
     """Changes that a local side lacks, which holds all of node n2's but those of event ids with 1 left over by 5."""
@@ -132,11 +202,13 @@ def origin_starts(spark, sf_dir) -> DataFrame:
     return replay.starts(cursors, 40.0)
 
 
-@query(f"""WITH l AS ({LOG}) SELECT id, max(version) AS version FROM (SELECT id, version, node, type, local_time FROM l WHERE event_id < 2000 AND type <> 'delete' UNION ALL SELECT id, version, node, type, local_time FROM l WHERE local_time >= 15000) GROUP BY 1""")
+@query(f"""WITH l AS ({LOG}), m AS (SELECT max(local_time) AS m FROM l)
+           SELECT id, max(version) AS version FROM (SELECT id, version FROM l, m WHERE local_time < m * 0.8 AND type <> 'delete' UNION ALL SELECT id, version FROM l, m WHERE local_time >= m * 0.7) GROUP BY 1""")
 def snapshot_log_handoff(spark, sf_dir) -> DataFrame:
-    """A snapshot of the first 2,000 events' records and the log from an anchor before it ended, merged."""
+    """A snapshot of the records up to four fifths of the log and the log from an anchor before that, merged."""
     rows = log(spark, sf_dir)
-    both = replay.handoff(rows.where("event_id < 2000 and type <> 'delete'").withColumn("type", F.lit("put")), rows, 15000.0)
+    end = rows.agg(F.max("local_time")).first()[0] or 0.0
+    both = replay.handoff(rows.where((F.col("local_time") < end * 0.8) & (F.col("type") != "delete")).withColumn("type", F.lit("put")), rows, end * 0.7)
     return changelog.latest(both).select("id", "version")
 
 
@@ -159,7 +231,8 @@ def asof_signup(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT 'n' || (event_id % 3) AS source, max(value) AS last FROM events WHERE event_id % 4 <> 0 GROUP BY 1""")
 def last_txn_per_source(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("n"), F.col("event_id") % 3)).alias("id"), F.col("value").alias("time"))).alias("items"))
+    source = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("n"), F.col("event_id") % 3))
+    e = table(spark, sf_dir, "events").select(F.array(F.struct(source.alias("id"), F.col("value").alias("time"))).alias("items"))
     return replay.last_per_source(e)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import changelog, relations, search
-from tidemark.sources import catalog
+from tidemark.sources import catalog, operations
 
 from .tables import registrar, table
 
@@ -155,10 +155,14 @@ def keyset_diff(spark, sf_dir) -> DataFrame:
     return relations.keyset_diff(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
-@query("""SELECT 'left' AS side, c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-          UNION ALL SELECT 'right', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+@query("""WITH c AS (SELECT CASE WHEN c_custkey % 10 = 3 THEN c_custkey + 10000000 ELSE c_custkey END AS k FROM customer)
+          SELECT 'left' AS side, k FROM c WHERE k NOT IN (SELECT o_custkey FROM orders)
+          UNION ALL SELECT 'right', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT k FROM c)""")
 def dangling_refs(spark, sf_dir) -> DataFrame:
-    return relations.dangling(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
+    """Every tenth customer has moved to another key."""
+    k = F.col("c_custkey")
+    moved = table(spark, sf_dir, "customer").select(F.when(k % 10 == 3, k + 10000000).otherwise(k).alias("k"))
+    return relations.dangling(moved, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 5 <> 1""")
@@ -192,12 +196,72 @@ def json_documents(spark, sf_dir) -> DataFrame:
     return good.where("_doc.k >= 50").select("user_id", "event_id", F.col("_doc.k").cast("string").alias("k"))
 
 
-@query("""SELECT event_id, props FROM events WHERE event_id % 2 = 1 AND FALSE""")
+@query("""SELECT event_id, left(props, length(props) - 1) AS props FROM events WHERE event_id % 9 = 4""")
 def json_undecodable(spark, sf_dir) -> DataFrame:
-    _, bad = catalog.parsed_documents(table(spark, sf_dir, "events"), "props", "k int")
+    """Every ninth document has lost its last brace."""
+    damaged = F.when(F.col("event_id") % 9 == 4, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    _, bad = catalog.parsed_documents(table(spark, sf_dir, "events").withColumn("props", damaged), "props", "k int")
     return bad.select("event_id", "props")
 
 
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (2, 18, 400)""")
+def search_by_hash(spark, sf_dir) -> DataFrame:
+    c = _catalog(spark, sf_dir)
+    return operations.Operations(c)({"operation": "search_by_hash", "database": "crm", "table": "customer", "hash_values": [2, "18", 400, 10**12], "get_attributes": ["c_custkey", "c_name"]})
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 0.0 WHEN s_suppkey % 5 = 1 THEN 1.0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey % 5 <> 2 UNION ALL SELECT s_suppkey + 1000000, 7.0 FROM supplier""")
+def rest_writes(spark, sf_dir) -> DataFrame:
+    """PUT, PATCH, POST (of which what is there is refused) and DELETE of a table at a path, then GET."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    c, paths = catalog.Catalog(spark), operations.Resources()
+    c.create("supplier", s, "s_suppkey")
+    paths.register("/Supplier", operations.TableResource(c, "supplier"))
+    paths("PUT", "/Supplier/", s.where("s_suppkey % 5 = 0").withColumn("s_acctbal", F.lit(0.0)))
+    paths("PATCH", "/Supplier/", s.where("s_suppkey % 5 = 1").withColumn("s_acctbal", F.lit(1.0)))
+    paths("POST", "/Supplier/", s.union(s.withColumn("s_suppkey", F.col("s_suppkey") + 1000000)).withColumn("s_acctbal", F.lit(7.0)))
+    paths("DELETE", "/Supplier/", s.where("s_suppkey % 5 = 2"))
+    return paths("GET", "/Supplier/")
+
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R'""")
+def key_prefix_range(spark, sf_dir) -> DataFrame:
+    """Order lines by composite key, of one return flag."""
+    keys = ["l_returnflag", "l_orderkey", "l_linenumber"]
+    return search.prefix_range(table(spark, sf_dir, "lineitem").select(*keys, "l_partkey"), keys, ["R"])
+
+
+@query("""SELECT 'data' AS database, 'orders' AS "table", 'o_orderkey' AS primary_key, 'o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string' AS attributes
+          UNION ALL SELECT 'crm', 'customer', 'c_custkey', 'c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string'""")
+def create_statements(spark, sf_dir) -> DataFrame:
+    """Operations that make described tables anew, without managed attributes and system tables."""
+    c = catalog.Catalog(spark)
+    c.create("orders", table(spark, sf_dir, "orders").withColumn("__createdtime__", F.lit(0)), "o_orderkey")
+    c.create("customer", table(spark, sf_dir, "customer"), "c_custkey", database="crm")
+    c.create("nodes", table(spark, sf_dir, "supplier"), "s_suppkey", database="system")
+    return catalog.create_statements(c.describe_all())
+
+
+@query("""SELECT o_custkey AS id, CASE WHEN c_custkey IS NULL THEN 'loaded ' || o_custkey ELSE c_name END AS v FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 4) ON o_custkey = c_custkey""")
+def read_through(spark, sf_dir) -> DataFrame:
+    """Customers that orders name; those of one nation aren't stored and are loaded."""
+
+    def load(frames):
+        for f in frames:
+            yield f.assign(v="loaded " + f["id"].astype(str))
+
+    stored = table(spark, sf_dir, "customer").where("c_nationkey <> 4").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("v"))
+    return catalog.read_through(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), stored, "id", load)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_id::DOUBLE WHEN event_id % 5 = 1 THEN (epoch_us(ts) // 1000)::DOUBLE WHEN event_id % 5 = 2 THEN (epoch_us(ts) // 1000000 * 1000 - 7200000)::DOUBLE END AS start_ms FROM events""")
+def start_times(spark, sf_dir) -> DataFrame:
+    """Numbers, UTC texts and texts with an offset are start times; dates and words are not."""
+    k, ts = F.col("event_id") % 5, F.col("ts")
+    text = F.when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).when(k == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(k == 3, F.date_format(ts, "yyyy-MM-dd")).when(k == 4, "yesterday")
+    return table(spark, sf_dir, "events").select("event_id", S.start_time_ms(text, F.when(k == 0, F.col("event_id").cast("double"))).alias("start_ms"))
+
+
 @query("""SELECT event_id, (props::JSON->>'k')::INT AS k, (props::JSON->>'absent') IS NULL AS absent FROM events""")
 def schemaless_attributes(spark, sf_dir) -> DataFrame:
     v = F.try_parse_json("props")

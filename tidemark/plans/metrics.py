@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M
+from tidemark.sources import catalog
 from tidemark.streaming import streams
 
 from .tables import registrar, table
@@ -77,6 +78,28 @@ def cpu_totals(spark, sf_dir) -> DataFrame:
     return M.attribute_cpu(_samples(spark, sf_dir), "/app/", "/pkg/")[0].select(F.round("user", 6).alias("user"), F.round("platform", 6).alias("platform"))
 
 
+@query("""WITH s AS (SELECT l_orderkey AS id, l_orderkey % 7 + 1 AS value, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem)
+          SELECT id, value, string_agg(n_name || ':' || (p_partkey % 100), '|' ORDER BY pos) AS frames FROM s JOIN part ON p_partkey = l_partkey JOIN nation ON n_nationkey = p_size % 25 GROUP BY 1, 2""")
+def star_samples(spark, sf_dir) -> DataFrame:
+    """Order lines as stacks of locations, which lie in functions, which lie in files."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    stacks = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("s"))
+    samples = stacks.select("id", (F.col("id") % 7 + 1).alias("value"), F.transform("s", lambda x: x["l_partkey"]).alias("location_ids"))
+    part = table(spark, sf_dir, "part")
+    locations = part.select(F.col("p_partkey").alias("location_id"), F.col("p_size").alias("function_id"), (F.col("p_partkey") % 100).alias("line"))
+    functions = part.select(F.col("p_size").alias("function_id"), (F.col("p_size") % 25).alias("file_id")).distinct()
+    strings = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("string_id"), F.col("n_name").alias("text"))
+    return M.star_samples(samples, locations, functions, strings).select("id", "value", F.array_join("frames", "|").alias("frames"))
+
+
+@query("""SELECT event_id % 4 AS gpu, user_id AS pid, floor(value)::BIGINT AS sm FROM events WHERE event_type <> 'error' AND event_id % 50 <> 0""")
+def gpu_lines(spark, sf_dir) -> DataFrame:
+    """Events as lines of a process monitor, headings and idle rows among them."""
+    used = F.when(F.col("event_type") == "error", "-").otherwise(F.floor("value").cast("string"))
+    line = F.when(F.col("event_id") % 50 == 0, "# gpu pid type sm").otherwise(F.concat_ws("   ", F.lit(" "), F.col("event_id") % 4, "user_id", F.lit("C"), used, F.lit("-")))
+    return catalog.gpu_rows(table(spark, sf_dir, "events").select(line.alias("value")))
+
+
 @query("""WITH RECURSIVE t(pid) AS (SELECT c_custkey FROM customer WHERE c_custkey // 3 = 5 AND c_custkey <> 5 UNION SELECT c.c_custkey FROM customer c JOIN t ON c.c_custkey // 3 = t.pid AND c.c_custkey <> c.c_custkey // 3) SELECT pid FROM t""")
 def process_closure(spark, sf_dir) -> DataFrame:
     """Customers as processes, the parent of k being k div 3."""

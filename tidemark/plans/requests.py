@@ -71,9 +71,10 @@ def rule_decisions(spark, sf_dir) -> DataFrame:
     return _flat(rules.evaluate(requests(spark, sf_dir), RULES))
 
 
-@query(f"""WITH {REQUESTS} SELECT id AS rule_id, count(*) AS hit_count FROM m GROUP BY 1""")
+@query(f"""WITH {REQUESTS} SELECT id AS rule_id, count(*) AS hit_count, make_timestamp(max(req % 1000) * 1000000) AS last_matched FROM m GROUP BY 1""")
 def rule_stats(spark, sf_dir) -> DataFrame:
-    return rules.statistics(_matched(spark, sf_dir)).select("rule_id", "hit_count")
+    timed = _matched(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.col("req") % 1000))
+    return rules.statistics(timed, "at").withColumn("last_matched", F.col("last_matched").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {REQUESTS}, a AS (SELECT *, TRUE AS s FROM m WHERE action <> 'log'), t AS (SELECT *, row_number() OVER (PARTITION BY req ORDER BY priority, rule) AS o, sum(score) OVER (PARTITION BY req ORDER BY priority, rule) AS run FROM a),

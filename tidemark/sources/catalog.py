@@ -41,6 +41,15 @@ class Catalog:
         self.tables.pop((database, table), None)
         self.spark.catalog.dropTempView(self.view(table, database))
 
+    def replace(self, table: str, df: DataFrame, database: str = DEFAULT) -> DataFrame:
+        """Puts other rows in a table's place; its key stays."""
+        _, key, updated = self.tables[database, table]
+        return self.create(table, df, key, database, updated=updated)
+
+    def clear(self, table: str, database: str = DEFAULT) -> DataFrame:
+        """Takes all rows out of a table, which stays with its attributes."""
+        return self.replace(table, self.table(table, database).where("false"), database)
+
     def merge_schema(self, table: str, rows: DataFrame, database: str = DEFAULT) -> DataFrame:
         """Adds rows; attributes only grow."""
         df, key, updated = self.tables[database, table]
