@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -86,16 +87,22 @@ def brute_groups(ids, linked):
     return {i: find(i) for i in ids}
 
 
-def test_simhash_bits_and_groups(docs):
+def test_simhash_bits_and_groups(docs, odd):
     import xxhash
 
-    rows = docs.collect()
+    rng = random.Random(8)
+    # The last text has more shingles than are hashed at once.
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**7 + i, t) for i, t in enumerate(ODD)] + [(5 * 10**7, " ".join(f"w{rng.randint(0, 900)}" for _ in range(70000)))]
+    same = sorted(((r.doc_id, r.component_id) for r in simhash.components(odd).collect()), key=str)
+    assert len(same) == len(ODD) + 1 and {c for i, c in same if i in (0, 1, 2)} == {0} and (None, None) in same and same.count((6, 5)) == 2
+    docs = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "text AS Text2")
     fps = {}
-    for r in rows:
-        w = r.text.encode().lower().split()
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
         sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
         h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
-        fps[r.doc_id] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        bits = np.unpackbits(np.array(h, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) if h else np.zeros(64, int)
+        fps[i] = sum(1 << b for b in range(64) if 2 * int(bits[b]) > len(h))
     ids = sorted(fps)
     want = brute_groups(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
     for limit in (256, 2):
@@ -407,3 +414,122 @@ def test_forgotten_words_change_no_result():
         words = large.split(large.spaced(t))
         assert [list(c) for c in small.count_words(words)] == [list(c) for c in large.count_words(words)]
     assert len(small.encoded.young) + len(small.encoded.old) < 40
+
+
+def test_empty_tables(empty):
+    v = queries.vocabulary()
+    found = [licenses.scan(empty), sentencepieces.encode(empty, v), token_counts.count(empty, v), token_counts.prefix_counts(empty, v), token_counts.truncate(empty, v, 5), simhash.components(empty), simhash.keep_one(empty), language.identify(empty, None, []), mixing.mixed_documents(empty)]
+    assert [d.count() for d in found] == [0] * len(found)
+    decoded = sentencepieces.decode(empty.selectExpr("doc_id", "text AS ids"), v)
+    assert decoded.columns == ["doc_id", "text"] and decoded.count() == 0
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Longer than the slices that operators cut batches into: 2, 4 and 8 MB."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdeé中 ") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = {1: " ".join(rng.choice(words) for _ in range(1_300_000)), 2: "short", 3: "x" * 300_000, 4: None}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    library = pieces.load(queries.vocabulary()).library
+    ids = {i: [*library.encode(t or ""), 2] for i, t in texts.items()}
+    assert len(texts[1].encode()) > 8 << 20
+    got = {r.doc_id: (r.n_tokens, hash(r.ids), r.decoded) for r in sentencepieces.encode(frame, queries.vocabulary()).collect()}
+    assert got == {i: (len(x), hash(" ".join(map(str, x))), texts[i] or "") for i, x in ids.items()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count(frame, queries.vocabulary()).collect()} == {i: len(x) - 1 for i, x in ids.items()}
+    net = language.Network(3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(frame, net, ["a", "b", "c"]).collect()}
+    plain = language.pooled(net, [texts[1].encode()], 3)[0]
+    assert got[1][0] == "abc"[plain.argmax()] and abs(got[1][1] - plain.max()) < 1e-6 and got[4] == ("und", 0.0)
+    c = Counter(w for t in texts.values() for w in (t or "").encode().lower().split() + [b" "])
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in language_model.score(frame, language_model.train(frame, fold=99, folds=100)).collect()}
+    assert got == {i: (n := len((t or "").encode().split()) + 1, n, sum(c.values())) for i, t in texts.items()}
+
+
+def test_memory_of_long_words_is_bounded():
+    """Scripts without spaces and encoded blobs make words of any length; they are charged with their bytes."""
+    p, rng = pieces.Pieces(queries.vocabulary(), keep_bytes=4 << 20), random.Random(3)
+    import pyarrow as pa
+
+    for _ in range(30):
+        texts = pa.array([" ".join("".join(rng.choice("abcdefgh中文") for _ in range(200)) for _ in range(100)) for _ in range(10)])
+        p.encode_texts(texts, check=False)
+        p.count_texts(texts)
+    for g in (p.encoded, p.counted):
+        size = sum(sys.getsizeof(w) + sys.getsizeof(x) for held in (g.young, g.old) for w, x in held.items())
+        assert size < 12 << 20 and len(g.young) + len(g.old) < 30_000
+
+
+def test_prediction_equals_a_plain_forward_pass():
+    """Every byte's distribution by loops over bytes, hidden units and classes, and the mean over a text's bytes."""
+    rng = np.random.default_rng(5)
+    net = language.Network(3, hidden=4, seed=2)
+    texts = ["Thé quick brown fox, and a long tail of words that fills more than one window of bytes.".encode(), b"x", b"", bytes(rng.integers(1, 255, 130).tolist())]
+    w, H = {k: v.astype(float) for k, v in net.w.items()}, 4
+
+    def direction(x, d):
+        h, out = np.zeros(H), [None] * len(x)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            a, b = w[f"in_{d}"][x[t]], h @ w[f"rec_{d}"]
+            z, r = (np.clip(0.2 * (a[k] + b[k]) + 0.5, 0, 1) for k in (slice(0, H), slice(H, 2 * H)))
+            c = a[2 * H :] + r * b[2 * H :]
+            c = c / (1 + abs(c))
+            h = (1 - z) * h + z * c
+            out[t] = h
+        return out
+
+    want = []
+    for t in texts:
+        total = np.zeros(3)
+        for k in range(0, len(t), language.WINDOW):
+            part = list(t[k : k + language.WINDOW])
+            x = part + [0] * (language.WINDOW - len(part))
+            f, b = direction(x, "f"), direction(x, "b")
+            for i in range(len(part)):
+                y = np.concatenate([f[i], b[i]]) @ w["out"] + w["bias"]
+                e = np.exp(y - y.max())
+                total += e / e.sum()
+        want.append(total / max(1, len(t)))
+    assert np.abs(language.pooled(net, texts, 3) - np.array(want)).max() < 1e-5
+
+
+def test_licenses_equal_a_quadratic_alignment():
+    """Coverage of the best stretch against the longest common subsequence over every stretch, of texts with words changed, dropped and put in."""
+    rng = random.Random(11)
+    notice = "permission is granted to use copy and share this {acme} work under these terms"
+    s, plain = licenses.Scanner({"acme": notice}, 0.8), licenses.words(notice)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    seen = [0, 0]
+    for _ in range(150):
+        text = list(plain)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(text))
+            kind = rng.random()
+            if kind < 0.4:
+                text[k] = rng.choice(["other", "word", "the"])
+            elif kind < 0.7:
+                del text[k]
+            else:
+                text[k:k] = [rng.choice(["very", "plain"])] * rng.randint(1, 4)
+        text = ["filler"] * rng.randint(0, 20) + text + ["filler"] * rng.randint(0, 20)
+        # Here any common subsequence that has the telling word is in one chain: all other words are strange to the notice.
+        best = lcs(text, plain) if "acme" in text else 0
+        want = round(best / len(plain), 9) if best >= 0.8 * len(plain) else None
+        got = s.scan(" ".join(text))
+        assert (round(got[0][1], 9) if got else None) == want, text
+        seen[want is not None] += 1
+    assert min(seen) > 20
+
+
+def test_two_encoders_of_many_words_agree():
+    p, rng = pieces.load(queries.vocabulary()), random.Random(6)
+    words = sorted({"".join(rng.choice(" aehtinrs é中😀ß.,0") for _ in range(rng.randint(1, 60))).replace("\n", "") for _ in range(2000)})
+    words = [w for w in words if w.strip(" ") == "" or " " not in w.lstrip(" ")]
+    assert p.found(words) == [p.to_ids(p.merge(w.replace(" ", pieces.MARK))) for w in words]

@@ -193,6 +193,8 @@ def scan(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = N
 
     A null or empty text has no hits; each license is reported once, at its
     best stretch, the first of equals. Hits are in order of template names.
+    Repeated rows come out each time, a null doc_id stays null, an empty table
+    gives an empty result; columns beside doc_id and text are not looked at.
     """
     held = dict(templates or TEMPLATES)
 

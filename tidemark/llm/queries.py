@@ -22,26 +22,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses stated in each document: how many, their names and the best coverage."""
+    """Licenses stated in each document: how many, their names and the best coverage.
+
+    Null and empty texts have none and coverage 0; repeated rows come out each
+    time; of equally good stretches the first counts; an empty table gives no row.
+    """
     hits = licenses.scan(table(spark, sf_dir, "documents"))
     best = F.coalesce(F.array_max(F.transform("hits", lambda h: h["coverage"])), F.lit(0.0))
     return hits.select("doc_id", F.size("hits").alias("n_licenses"), F.array_join(F.transform("hits", lambda h: h["template"]), ",").alias("licenses"), F.round(best, 6).alias("coverage"))
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every embedding whose vec_id is divisible by 100.
+
+    Ties go to the smaller vec_id; null vectors, ids and components take no
+    part, repeated rows are candidates each time, an empty table gives no row.
+    """
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more among embeddings of a label, as counts and components, a row a row.
+
+    Nulls link with nothing, repeated rows and repeated vec_ids are rows of
+    their own, a cosine of just 0.98 links, an empty table gives no row.
+    """
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Tokens of every text and digests of its ids and of what they decode to.
+
+    A null text is the empty one, with the end id alone; repeated rows come
+    out each time, null doc_ids stay null, nothing ties, an empty table gives no row.
+    """
     done = sentencepieces.encode(table(spark, sf_dir, "documents") if docs is None else docs, vocabulary())
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from three of four doc_ids.
+
+    `und` for texts that are null or without a letter; a null doc_id is
+    neither held out nor learned from; repeated rows are predicted each time;
+    equal probabilities go to the first language by code point; an empty table gives no row.
+    """
     docs = table(spark, sf_dir, "documents")
     net, langs = language.fit(docs)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -65,19 +90,40 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document.
+
+    Null and empty texts have fingerprint 0 and link like any other; repeated
+    rows come out each time; a component without any doc_id has none; three
+    differing bits link, four don't; an empty table gives no row.
+    """
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of all sources takes.
+
+    Null texts have size 0, null sources are one source, null doc_ids and
+    repeated rows are mixed as rows; ties as in mixing.mix; an empty table gives no row.
+    """
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and exact token count of every text, and whether it is over 4,096 tokens.
+
+    A null text is the empty one, of 0 tokens; 4,096 tokens are not over the
+    limit; repeated rows come out each time; an empty table gives no row.
+    """
     return token_counts.count(table(spark, sf_dir, "documents"), vocabulary()).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under a model of six of seven doc_ids.
+
+    A null text is the end alone; a null doc_id is neither held out nor
+    learned from; repeated rows train and score each time; an empty table gives no row.
+    """
     docs = table(spark, sf_dir, "documents")
     return language_model.score(docs, language_model.train(docs))
 

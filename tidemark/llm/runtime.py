@@ -53,12 +53,14 @@ def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests on one machine, a temporary
-    folder is set for this session.
+    Where the session names none, a temporary folder is set for this session,
+    on one machine only: elsewhere it wouldn't be shared, and that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return named or sc.getCheckpointDir()
 

@@ -55,7 +55,10 @@ def fingerprint(text: bytes, words_per: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) of each row; null and empty texts have fingerprint 0."""
+    """doc_id, fp (long) of each row; null and empty texts have fingerprint 0.
+
+    Repeated rows come out each time, an empty table gives an empty result.
+    """
 
     def run(batches):
         for batch in batches:
