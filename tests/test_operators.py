@@ -229,3 +229,66 @@ def test_drained_rows_stay_out_of_the_driver(spark, tmp_path):
     (tmp_path / "none").mkdir()
     none = spark.readStream.schema("k int").parquet(str(tmp_path / "none"))
     assert [streams.drain(d, "nothing", m).count() for d, m in ((none, "append"), (none.groupBy("k").count(), "complete"))] == [0, 0]
+
+
+def test_operations_and_resources(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.operations import Operations, Resources, TableResource
+
+    c = catalog.Catalog(spark)
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(2000)], "id long, name string")
+    c.create("t", rows)
+    run = Operations(c)
+    assert sorted(r.id for r in run({"operation": "search_by_id", "table": "t", "ids": list(range(500, 2500))}).collect()) == list(range(500, 2000))
+    assert run({"operation": "search_by_conditions", "table": "t", "conditions": [{"attribute": "name", "value": "n7"}]}).first().id == 7
+    assert run({"operation": "insert", "table": "t", "records": spark.createDataFrame([(7, "again"), (5000, "new")], "id long, name string")}).count() == 2001
+    assert run({"operation": "update", "table": "t", "records": spark.createDataFrame([(7, None)], "id long, name string")}).where("name is null").first().id == 7
+    assert run({"operation": "delete", "table": "t", "ids": spark.createDataFrame([(7,)], "id long")}).count() == 2000
+    assert run({"operation": "clear_table", "table": "t"}).count() == 0 and c.table("t").columns == ["id", "name"]
+    assert run({"operation": "sql", "sql": "SELECT count(*) AS n FROM data.t"}).first().n == 0
+    run.register("names", lambda r: rows.select("name").limit(r["n"]))
+    assert run({"operation": "names", "n": 3}).count() == 3
+    with pytest.raises(ValueError):
+        run({"operation": "drop_everything"})
+
+    class Loud(TableResource):
+        def get(self, target="/"):
+            return super().get(target).withColumn("name", F.upper("name"))
+
+    c.create("u", rows)
+    at = Resources()
+    at.register("/u/", Loud(c, "u"))
+    assert at("GET", "/u/12").first().name == "N12" and at("GET", "/u?name=n5").first().id == 5
+    for method, url in (("GET", "/v/1"), ("CONNECT", "/u/")):
+        with pytest.raises(ValueError):
+            at(method, url)
+
+
+def test_control_row_and_checks(spark):
+    import pytest
+
+    none = spark.createDataFrame([], "id string, mode string, scoreThreshold double")
+    one = rules.with_control(none, threshold=4.0)
+    assert [tuple(r) for r in rules.with_control(one, mode="off").collect()] == [("control", "off", 4.0)]
+    for bad in ({}, {"mode": "loud"}, {"threshold": 0}, {"threshold": float("nan")}, {"threshold": True}):
+        with pytest.raises(ValueError):
+            rules.with_control(none, **bad)
+
+
+def test_folders_texts_and_times(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import scalars as S
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo\n")
+    assert sorted(r.value for r in streams.drain(streams.watched_texts(spark, str(tmp_path / "in")), "texts").collect()) == ["one", "two"]
+    blob = catalog.read_blobs(spark, str(tmp_path / "in")).first()
+    assert blob.length == 8 and bytes(blob.content) == b"one\ntwo\n"
+    times = spark.createDataFrame([("2024-01-01T00:00:00Z", None), ("2024-01-01T02:00:00.5+02:00", None), ("2024-01-01", None), ("yesterday", None), ("1704067200000", None), (None, 5.0), (None, float("nan"))], "t string, n double")
+    assert [r[0] for r in times.select(S.start_time_ms(F.col("t"), F.col("n"))).collect()] == [1704067200000.0, 1704067200500.0, None, None, None, 5.0, None]
+    assert spark.range(1).select(S.iso_utc(F.lit(1704067200500.0))).first()[0] == "2024-01-01T00:00:00.500Z"
+    urls = spark.createDataFrame([("a",), ("ws://b:1",)], "n string").select(S.node_url(F.col("n"), F.lit(9933), F.lit(False))).collect()
+    assert [r[0] for r in urls] == ["ws://a:9933", "ws://b:1"]
