@@ -217,17 +217,20 @@ def prefix_join(left: DataFrame, text: str, prefixes: DataFrame, prefix: str, le
     return spread.withColumn("_head", F.substring(F.col(text), F.lit(1), F.col("_n"))).join(prefixes.withColumnRenamed(prefix, "_head"), "_head").drop("_n", "_head")
 
 
-def candidates(requests: DataFrame, conditions: DataFrame) -> DataFrame:
+def facts(conditions: DataFrame) -> dict:
+    """What the rules' own table holds: prefix lengths and patterns of its anchors, and whether it is small."""
+    kinds = conditions.groupBy("anchor", "kind", F.length("value").alias("n"), F.when(F.col("kind") == "regex", F.col("value")).alias("pattern")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    lengths = {k: sorted({r.n for r in kinds if r.anchor and r.kind == k}) for k in ("ip6", "prefix")}
+    return {"lengths": lengths, "patterns": sorted({r.pattern for r in kinds if r.anchor and r.kind == "regex"}), "few": sum(r.rows for r in kinds) <= FEW}
+
+
+def candidates(requests: DataFrame, conditions: DataFrame, plan: dict | None = None) -> DataFrame:
     """(request columns, rule): pairs whose anchor holds, or may hold where its operation isn't equality; not distinct.
 
-    Looks at the rules' own small table to learn which prefix lengths and
-    patterns there are; goes through the requests once.
+    Goes through the requests once.
     """
-    anchors = conditions.where("anchor")
-    lengths: dict[str, list[int]] = {"ip6": [], "prefix": []}
-    for r in anchors.where(F.col("kind").isin("ip6", "prefix")).select("kind", F.length("value").alias("n")).distinct().collect():
-        lengths[r.kind].append(r.n)
-    patterns = [r.value for r in anchors.where("kind = 'regex'").select("value").distinct().collect()]
+    plan = plan or facts(conditions)
+    lengths, patterns = plan["lengths"], plan["patterns"]
     none = F.array().cast("array<string>")
 
     def heads(kind: str, text: str) -> Column:
@@ -245,12 +248,13 @@ def candidates(requests: DataFrame, conditions: DataFrame) -> DataFrame:
         *named("header", "headers", lambda h: h["values"]), *named("query", "query", lambda q: F.array(q["value"])),
     ]
     spread = requests.withColumn("_key", F.explode(F.array_distinct(F.array_compact(F.concat(*[F.coalesce(k, none) for k in keys])))))
-    return spread.join(_small(anchors.select("rule", F.explode("keys").alias("_key")).distinct(), conditions), "_key").drop("_key")
+    listed = conditions.where("anchor").select("rule", F.explode("keys").alias("_key")).distinct()
+    return spread.join(_small(listed, plan), "_key").drop("_key")
 
 
-def _small(rules: DataFrame, conditions: DataFrame) -> DataFrame:
+def _small(rules: DataFrame, plan: dict) -> DataFrame:
     """Broadcast if the rules have few conditions."""
-    return F.broadcast(rules) if conditions.count() <= FEW else rules
+    return F.broadcast(rules) if plan["few"] else rules
 
 
 def _holds() -> Column:
@@ -278,10 +282,11 @@ def _holds() -> Column:
 
 def matches(requests: DataFrame, rules: DataFrame, conditions: DataFrame) -> DataFrame:
     """(req, rule columns, probe) of every rule all of whose groups hold; probe settles equal priorities."""
-    pairs = candidates(prepared(requests), conditions)
-    held = pairs.join(_small(conditions.select("rule", "grp", "kind", "name", "op", "value", "low", "high", "probe"), conditions), "rule").where(_holds()).select("req", "rule", "grp", "probe")
+    plan = facts(conditions)
+    pairs = candidates(prepared(requests), conditions, plan)
+    held = pairs.join(_small(conditions.select("rule", "grp", "kind", "name", "op", "value", "low", "high", "probe"), plan), "rule").where(_holds()).select("req", "rule", "grp", "probe")
     whole = held.groupBy("req", "rule").agg(F.size(F.collect_set("grp")).alias("_held"), F.min("probe").alias("probe"))
-    return whole.join(_small(rules, conditions), "rule").where(F.col("_held") == F.col("groups")).drop("_held", "groups")
+    return whole.join(_small(rules, plan), "rule").where(F.col("_held") == F.col("groups")).drop("_held", "groups")
 
 
 def statistics(matched: DataFrame, time: str | None = None) -> DataFrame:

@@ -11,18 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STRETCHES = 64
+#: A stretch has about this many rows, and there are this many stretches at most.
+STRETCH_ROWS, MOST = 1 << 20, 64
 
 
-def stretch(df: DataFrame, order: str, stretches: int = STRETCHES) -> Column:
+def stretch(df: DataFrame, order: str, stretches: int | None = None) -> Column:
     """Which stretch a row is in: how many of the table's approximate quantiles lie at or below it (null: none)."""
+    stretches = stretches or min(MOST, -(-df.count() // STRETCH_ROWS))
+    if stretches <= 1:
+        return F.lit(0)
     kind = df.schema[order].dataType
     number = F.unix_micros(F.col(order).cast("timestamp")).cast("double") if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(order).cast("double")
     bounds = sorted(set(df.select(number.alias("n")).approxQuantile("n", [k / stretches for k in range(1, stretches)], 1 / (2 * stretches))))
-    return sum([F.coalesce((number >= F.lit(b)).cast("int"), F.lit(0)) for b in bounds], F.lit(0))
 
+    def place(low: int, high: int):
+        """A search by halves."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(number >= bounds[middle], place(middle + 1, high)).otherwise(place(low, middle))
 
-def running(df: DataFrame, by: list[str], order: list[str], what: dict[str, tuple[str, str]], stretches: int = STRETCHES) -> DataFrame:
+    return place(0, len(bounds))
+
+
+def running(df: DataFrame, by: list[str], order: list[str], what: dict[str, tuple[str, str]], stretches: int | None = None) -> DataFrame:
     """Adds, for each name in `what`, the running `sum` or `max` of a column over the rows of a key up to this one.
 
     Rows that are equal in order are one another's peers and see each other,
@@ -44,7 +56,7 @@ def running(df: DataFrame, by: list[str], order: list[str], what: dict[str, tupl
     return joined.select(*df.columns, *[F.coalesce(both[f](F.col(name), F.col(f"_carry_{name}")), F.col(f"_carry_{name}")).alias(name) for name, (f, _) in what.items()])
 
 
-def before(df: DataFrame, by: list[str], order: str, columns: list[str], stretches: int = STRETCHES) -> DataFrame:
+def before(df: DataFrame, by: list[str], order: str, columns: list[str], stretches: int | None = None) -> DataFrame:
     """Adds `_prev_<column>` of the row before in a key; the order is the row's own. Null for a key's first row."""
     cut = df.withColumn("_stretch", stretch(df, order, stretches))
     own = Window.partitionBy(*by, "_stretch").orderBy(order)
