@@ -146,6 +146,14 @@ def test_excluded_origins_are_read_again_with_every_batch(spark, tmp_path):
     assert [tuple(r) for r in streams.drain(streams.subscription(spark, one, "id string, type string", id_value="x"), "keyed").collect()] == [("x", "put")]
 
 
+def test_streams_without_files(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    kind = "node string, seq long"
+    none = spark.readStream.schema(kind).parquet(str(tmp_path / "none"))
+    assert streams.each_period(none, str(tmp_path / "out"), str(tmp_path / "c"), []).count() == 0
+    assert streams.merged(spark, str(tmp_path / "state"), kind).count() == 0
+
+
 def test_deep_chains_and_cycles(spark):
     from tidemark.operators import metrics
 

@@ -101,7 +101,7 @@ def stream_merge(spark, sf_dir) -> DataFrame:
     rows = e.select(F.col("user_id").cast("string").alias("id"), kind.alias("type"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000).cast("double").alias("version"), F.concat(F.lit("n"), F.col("event_id") % 3).alias("node"))
     path = shared_path(spark, "merged")
     rows.writeStream.foreachBatch(streams.merge_into(path, buckets=8)).trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start().awaitTermination()
-    return streams.merged(spark, path)
+    return streams.merged(spark, path, rows.schema)
 
 
 @query("""SELECT event_id, 'n' || (event_id % 3) AS node FROM events WHERE event_id % 3 NOT IN (SELECT n_nationkey % 3 FROM nation WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey = 4))""")

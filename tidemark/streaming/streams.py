@@ -60,7 +60,7 @@ def merge_into(path: str, key: str = "id", buckets: int = 64):
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = {b: v for b, v in _pointer(spark, path, before=epoch).items()}
+        before = _pointer(spark, path, before=epoch)
         rows = batch.withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         rows.write.mode("overwrite").partitionBy("b").parquet(f"{path}/incoming/e={epoch}")  # the source is read once
         incoming = spark.read.schema(rows.schema).parquet(f"{path}/incoming/e={epoch}")
@@ -103,8 +103,10 @@ def _pointer(spark: SparkSession, path: str, before: int | None = None) -> dict[
     return {r.b: r.v for r in spark.read.parquet(f"{path}/current/e={max(done)}").collect()} if done else {}
 
 
-def merged(spark: SparkSession, path: str) -> DataFrame:
-    """The rows that merge_into keeps at a path, of its latest finished batch."""
+def merged(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The rows that merge_into keeps at a path, of its latest finished batch; with a schema, none before the first."""
+    if schema is not None and not _pointer(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.option("mergeSchema", True).parquet(*[f"{path}/b={b}/v={v}" for b, v in sorted(_pointer(spark, path).items())]).drop("b")
 
 
@@ -133,6 +135,7 @@ def each_period(stream: DataFrame, path: str, checkpoint: str, hooks: list, swit
         for hook in hooks:
             hook(kept, epoch)
 
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/_batch=-1")
     stream.writeStream.foreachBatch(run).trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
