@@ -221,19 +221,24 @@ def test_gradients_by_differences():
 def test_language_model(docs, odd, empty):
     for frame in (docs, odd):
         rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b" "]) for r in frame.collect()]
-        c, pairs, n_docs = Counter(), Counter(), 0
+        # n-grams by tuple; None stands for the start of a text, once before its first token.
+        c, n_docs = Counter(), 0
         for i, w in rows:
             if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
-                c.update(w)
-                pairs.update(zip([None, *w[:-1]], w, strict=True))
+                for n in (1, 2, 3, 4):
+                    c.update(zip(*([None, *w][k:] for k in range(n))))
                 n_docs += 1
-        N, V = sum(c.values()), len(c)
-        p = lambda w: (c[w] + 1) / (N + V + 1)
-        want = sorted((str(i), len(w), sum(c[x] > 0 for x in w), N, round(sum(math.log10(p(x)) for x in w), 6)) for i, w in rows)
-        own = sorted((str(i), sum(math.log10((pairs[h, x] + 50 * p(x)) / ((n_docs if h is None else c[h]) + 50)) for h, x in zip([None, *w[:-1]], w, strict=True)), len(w)) for i, w in rows)
-        for kw in ({}, {"shard_tokens": 500}):
+        N, V = sum(v for k, v in c.items() if len(k) == 1 and k[0]), sum(len(k) == 1 and k[0] is not None for k in c)
+        base = lambda w: (c[w,] + 1) / (N + V + 1)
+
+        def p(h, w):
+            return (c[*h, w] + 50 * p(h[1:], w)) / (c[h] + 50) if h else base(w)
+
+        want = sorted((str(i), len(w), sum(c[x,] > 0 for x in w), N, round(sum(math.log10(base(x)) for x in w), 6)) for i, w in rows)
+        for order, kw in ((3, {}), (3, {"shard_tokens": 500}), (2, {"order": 2}), (4, {"order": 4, "shard_tokens": 3000})):
             got = language_model.score(frame, language_model.train(frame, **kw)).collect()
             assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+            own = sorted((str(i), sum(math.log10(p(tuple([None, *w][max(0, k + 2 - order) : k + 1]), x)) for k, x in enumerate(w)), len(w)) for i, w in rows)
             for (i, s, n), (j, t) in zip(own, sorted((str(r.doc_id), r.score) for r in got), strict=True):
                 assert i == j and abs(s - t) < 2e-4 * n
     assert language_model.score(empty, language_model.train(empty)).count() == 0

@@ -1,26 +1,32 @@
-"""Language-model scoring with a sharded Elias-Fano bigram trie in memory-mapped files.
-
-Training counts words and pairs of neighbouring words over all training rows.
-The first level holds the sorted hashes of all words and the running total of
-their counts: differences are exact counts, and the total up to a word is where
-its pairs begin in the corpus. The second level holds the words seen as
-contexts and, as monotone pointers, the range of children of each; the third
-the children, made one monotone sequence by adding their context's rank times
-the number of words, and beside each its smoothed probability, quantised to 16
-bits. A pair is found by its context, the context's range, and a successor
-search for the word among the children of this range.
-
-p(w | h) = (c(h w) + k p(w)) / (c(h) + k), p(w) = (c(w) + 1) / (N + V + 1).
-
-The levels are cut into shards of about `shard_tokens` by hash and by where a
-pair lies in the running totals; a context with very many words behind it is
-spread over shards by the same rule. Shards are built in parallel, written to
-the shared folder and mapped by the scoring tasks, which never hold a level in
-memory. Words are told apart by 64-bit hashes.
+"""Language-model scoring with a sharded Elias-Fano n-gram trie in memory-mapped files.
+
+Training counts words and, level by level, runs of up to `order` tokens over all
+training rows. The first level holds the sorted hashes of all words and the
+running total of their counts: differences are exact counts, and the total up to
+a word is where its pairs begin in the corpus. Every further level holds its
+contexts, which are entries of the level above, and, as monotone pointers, the
+range of children of each; then the children, made one monotone sequence by
+adding their context's rank times the number of words. Beside each child are its
+smoothed probability and, for its own children, its count, both quantised to 16
+bits. An n-gram is found by its context, the context's range,
+and a successor search for the word among the children of this range.
+
+p(w | h) = (c(h w) + k p(w | h')) / (c(h) + k), h' being h without its first
+token, and p(w) = (c(w) + 1) / (N + V + 1). A text's first token has the start
+of texts as its context, the next one the start and the first token, and no
+context reaches further back than that.
+
+The levels are cut into shards of about `shard_tokens` by hash and by where an
+n-gram lies in the running totals: a context with very many tokens behind it is
+spread over as many shards by the same rule. Shards are built in parallel,
+written to the shared folder and mapped by the scoring tasks, which never hold a
+level in memory. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +37,30 @@ from .elias_fano import Sequence, build, mapped, save
 from .runtime import cut, fresh_path, pick, runs
 
 LOWEST, STEPS = -16.0, 65535
+#: An n-gram's id is its shard's number and, in so many bits, its place in the shard.
+SHARD_BITS = 32
+
+
+def packed(x: np.ndarray) -> np.ndarray:
+    """Logarithms between LOWEST and 0 in 16 bits."""
+    return np.round(np.clip(x / LOWEST, 0, 1) * STEPS).astype(np.uint16)
+
+
+def unpacked(q: np.ndarray) -> np.ndarray:
+    return LOWEST * (q / STEPS)
+
+
+def packed_counts(n: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits: 11 bits of the number and 5 of its length, exact below 2,048."""
+    shift = np.maximum(np.frexp(n.astype(float))[1] - 11, 0).astype(np.int64)
+    top = (n + (1 << shift >> 1)) >> shift
+    over = top >> 11
+    return ((shift + over) << 11 | top >> over).astype(np.uint16)
+
+
+def unpacked_counts(q: np.ndarray) -> np.ndarray:
+    q = q.astype(np.int64)
+    return (q & 2047) << (q >> 11)
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -128,14 +158,25 @@ class Words:
         return out
 
 
-class Model:
-    """What a task needs to look pairs up; the levels stay in their files."""
+@dataclass
+class Grams:
+    """The different n-grams of some texts at one level, in the order of their contexts and words."""
 
-    def __init__(self, words: Words, starts: list[int], tokens: int, docs: int, pair_shards: int, strength: float):
-        self.words, self.starts, self.tokens, self.docs, self.pair_shards, self.strength = words, np.array(starts, np.int64), tokens, docs, pair_shards, strength
+    tokens: np.ndarray  #: The tokens that have an n-gram of this level,
+    of: np.ndarray  #: and which n-gram each of them ends.
+    context: np.ndarray
+    word: np.ndarray
+    shard: np.ndarray
+    lower: np.ndarray  #: log10 of what one level above gives each of `tokens`
 
-    def key(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return context * max(1, self.words.total) + word
+
+class Model:
+    """What a task needs to look n-grams up; the levels stay in their files."""
+
+    def __init__(self, words: Words, starts: list[int], tokens: int, docs: int, shards: int, strength: float):
+        self.words, self.starts, self.tokens, self.docs, self.shards, self.strength = words, np.array(starts, np.int64), tokens, docs, shards, strength
+        #: The highest level whose files are complete.
+        self.built = 1
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         """How many training tokens come before each word in the order of ids; the start of texts is last."""
@@ -145,31 +186,79 @@ class Model:
         out[known] = self.words.sums(ids[known]) + self.starts[shard]
         return out
 
-    def shard(self, context_place: np.ndarray, context_count: np.ndarray, word_place: np.ndarray) -> np.ndarray:
-        """The shard of a pair: its place in the running totals, rising with its key."""
-        at = context_place + context_count * (word_place / max(1, self.tokens))
-        return np.minimum((at * (self.pair_shards / max(1, self.tokens + self.docs))).astype(np.int64), self.pair_shards - 1)
+    def path(self, level: int, shard: int) -> str:
+        return f"{self.words.folder}/grams-{level}-{shard}"
 
-    def pairs(self, contexts: np.ndarray, words: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """Quantised log10 probabilities of pairs, NaN where a pair was never seen; sorted by context and word."""
-        out = np.full(len(contexts), np.nan)
-        for k, part in stretches(shard):
-            arrays = mapped(f"{self.words.folder}/pairs-{k}")
+    def find(self, level: int, g: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of n-grams (-1 if never seen), their log10 probabilities, and their counts."""
+        ids, p, n = np.full(len(g.context), -1, np.int64), np.zeros(len(g.context)), np.zeros(len(g.context), np.int64)
+        known = np.flatnonzero((g.context >= 0) & (g.word >= 0))
+        known = known[np.argsort(g.shard[known], kind="stable")]
+        for k, part in stretches(g.shard[known]):
+            arrays = mapped(self.path(level, k))
             if not arrays:
                 continue
+            at = known[part]
+            context = g.context[at]
             # Contexts come in stretches; each is looked up once and gives the range of its children.
-            first = np.flatnonzero(np.diff(contexts[part], prepend=-1))
-            asked = contexts[part][first] - int(arrays["base"][0])
+            first = np.flatnonzero(np.diff(context, prepend=-1))
+            asked = context[first] - int(arrays["base"][0])
             rank = Sequence(arrays, "context").find(np.where(asked >= 0, asked, np.iinfo(np.int64).max).astype(np.uint64))
             child, some = Sequence(arrays, "child"), np.maximum(rank, 0)
             begin, end = (np.where(rank >= 0, child.get(some + up).astype(np.int64), 0) for up in (0, 1))
-            each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(contexts[part]))))
+            each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
             open_ = np.flatnonzero(end[each] > begin[each])
-            at = Sequence(arrays, "word").find((rank[each[open_]] * self.words.total + words[part][open_]).astype(np.uint64))
-            hit = (at >= begin[each[open_]]) & (at < end[each[open_]])
-            out[part.start + open_[hit]] = LOWEST * (arrays["p"][at[hit]] / STEPS)
+            each = each[open_]
+            local = Sequence(arrays, "word").find((rank[each] * self.words.total + g.word[at[open_]]).astype(np.uint64))
+            hit = (local >= begin[each]) & (local < end[each])
+            at, local = at[open_[hit]], local[hit]
+            ids[at], p[at] = (k << SHARD_BITS) + local, unpacked(arrays["p"][local])
+            if "n" in arrays:
+                n[at] = unpacked_counts(arrays["n"][local])
+        return ids, p, n
+
+    def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
+        """Counts of the n-grams with these ids, which are sorted."""
+        out = np.zeros(len(ids), np.int64)
+        for k, part in stretches(ids >> SHARD_BITS):
+            out[part] = unpacked_counts(mapped(self.path(level, k))["n"][ids[part] & ((1 << SHARD_BITS) - 1)])
         return out
 
+    def levels(self, t: Tokens, top: int):
+        """Yields base probabilities and counts of the tokens, then the n-grams of each level up to `top`, then the tokens' probabilities.
+
+        All probabilities are log10. Levels that are built are looked up, so
+        that the one after them has their ids as contexts.
+        """
+        w = self.words
+        ids = w.find(t.hashes) if w.total else np.full(len(t.hashes), -1)
+        order = np.argsort(ids, kind="stable")
+        rank = np.append(np.argsort(order), len(order))
+        ids, word, context = np.append(ids[order], w.total), rank[t.codes], rank[t.before]
+        n, place, first = np.append(w.counts(ids[:-1]), self.docs), self.place(ids).astype(float), t.before == len(t.hashes)
+        p = np.log10((n[:-1] + 1) / (self.tokens + w.total + 1))[word]
+        yield p.copy(), n[word]
+        # Of contexts: their ids, their counts, and where they lie in the running totals.
+        its, held, begins, share = ids, n, place, place / max(1, self.tokens)
+        for level in range(2, top + 1):
+            tokens = np.flatnonzero(context >= 0)
+            gram, of = np.unique(context[tokens] * len(ids) + word[tokens], return_inverse=True)
+            a, b = gram // len(ids), gram % len(ids)
+            at = begins[a] + held[a] * share[b]
+            shard = (at * (self.shards / max(1, self.tokens + self.docs))).astype(np.int64) % self.shards
+            g = Grams(tokens, of, its[a], ids[b], shard, p[tokens])
+            if level <= self.built:
+                back = np.log10(self.strength / (held[a] + self.strength))
+                its, seen, held = self.find(level, g)
+                p[tokens] = np.where(its[of] >= 0, seen[of], back[of] + g.lower)
+                begins = at
+                # The next token's context is this n-gram, if it was ever seen and the text goes on.
+                ends = np.full(len(word), -1)
+                ends[tokens] = np.where(its[of] >= 0, of, -1)
+                context = np.where(first, -1, np.concatenate([[-1], ends[:-1]])) if len(ends) else ends
+            yield g
+        yield p
+
 
 def stretches(values: np.ndarray):
     """(value, slice) of each stretch of equal values."""
@@ -182,12 +271,13 @@ def _training(fold: int, folds: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds != fold, F.lit(False))
 
 
-def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1 << 20, strength: float = 50.0) -> Model:
+def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1 << 20, strength: float = 50.0, order: int = 3) -> Model:
     """A model of all rows whose crc32(doc_id as text) mod `folds` is not `fold`.
 
     Rows without a doc_id don't train; null and empty texts train as their end
     alone; repeated rows count each time. Of an empty table the model knows
-    nothing. Extra columns are not looked at.
+    nothing. Extra columns are not looked at. `order` is the longest n-gram, 2
+    at least.
     """
     spark = docs.sparkSession
     texts = pick(docs, doc_id="bigint", text="string").where(_training(fold, folds)).select("text")
@@ -233,69 +323,77 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
     if not tokens:
         return model
 
-    def count_pairs(batches):
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in _parts(batch):
-                t = Tokens(part.column("text"))
-                ids = np.append(model.words.find(t.hashes), model.words.total)
-                n = np.append(model.words.counts(ids[:-1]), model.docs)
-                place = model.place(ids)
-                pair, times = np.unique(t.before * len(ids) + t.codes, return_counts=True)
-                a, b = pair // len(ids), pair % len(ids)
-                keys = model.key(ids[a], ids[b])
-                order = np.argsort(keys)
-                keys, times, a, b = keys[order], times[order], a[order], b[order]
-                shard = model.shard(place[a], n[a], place[b])
-                shards, blobs = [], []
-                for k, s in stretches(shard):
-                    steps = np.diff(keys[s], prepend=0)
-                    planes = np.ascontiguousarray(np.concatenate([steps.view(np.uint8).reshape(-1, 8), times[s].astype(np.uint32).view(np.uint8).reshape(-1, 4)], 1).T)
-                    shards.append(k)
-                    blobs.append(squeeze.compress(planes.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "pairs"])
-
-    def write_pairs(batches):
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
-        keys, times, at = [], [], None
-
-        def close():
-            key, place = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(place, np.concatenate(times)).astype(np.int64)
-            w = model.words
-            context, word = key // w.total, key % w.total
-            of = np.where(context < w.total, context, -1)
-            # Contexts come in runs; look each up once.
-            uniq, back = np.unique(of, return_inverse=True)
-            before = np.where(uniq >= 0, w.counts(uniq), model.docs)[back]
-            uniq, back = np.unique(word, return_inverse=True)
-            own = ((w.counts(uniq) + 1) / (model.tokens + w.total + 1))[back]
-            p = np.log10((n + model.strength * own) / (before + model.strength))
-            q = np.round(np.clip(p / LOWEST, 0, 1) * STEPS).astype(np.uint16)
-            seen, first, rank = np.unique(context, return_index=True, return_inverse=True)
-            levels = build(seen - seen[0], "context") | build(np.append(first, len(key)), "child") | build(rank * w.total + word, "word")
-            save(f"{w.folder}/pairs-{at}", levels | {"base": seen[:1], "p": q})
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(key)], pa.int64())], ["shard", "size"])
-
-        for (k,), part in runs(batches, ["shard"]):
-            if k != at:
-                if keys:
-                    yield close()
-                keys, times, at = [], [], k
-            for blob in part.column("pairs").to_pylist():
-                planes = np.frombuffer(expand.decompress(blob), np.uint8).reshape(12, -1).T
-                keys.append(np.cumsum(np.ascontiguousarray(planes[:, :8]).view(np.int64)[:, 0]))
-                times.append(np.ascontiguousarray(planes[:, 8:]).view(np.uint32)[:, 0])
-        if keys:
-            yield close()
-
-    written = texts.mapInArrow(count_pairs, "shard long, pairs binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(write_pairs, "shard long, size long")
-    if written.agg(F.sum("size")).first()[0] is None:
-        raise RuntimeError("a model of tokens without pairs")
+    def count_grams(level):
+        def count(batches):
+            import zstandard
+
+            squeeze = zstandard.ZstdCompressor(level=1)
+            for batch in batches:
+                for part in _parts(batch):
+                    *_, g, _ = model.levels(Tokens(part.column("text")), level)
+                    times, lower = np.bincount(g.of), np.zeros(len(g.context), np.uint16)
+                    lower[g.of] = packed(g.lower)
+                    order = np.argsort(g.shard, kind="stable")
+                    shards, blobs = [], []
+                    for k, s in stretches(g.shard[order]):
+                        at = order[s]
+                        new, steps = np.diff(g.context[at], prepend=-1), np.diff(g.word[at], prepend=0)
+                        steps[new != 0] = g.word[at[new != 0]]
+                        columns = [new, steps, times[at].astype(np.uint32), *([lower[at]] if level > 2 else [])]
+                        planes = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(at), -1) for c in columns], 1)
+                        shards.append(k)
+                        blobs.append(squeeze.compress(np.ascontiguousarray(planes.T).tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "grams"])
+
+        return count
+
+    def write_grams(level):
+        def write(batches):
+            import zstandard
+
+            expand, w = zstandard.ZstdDecompressor(), model.words
+            held, at = [], None
+
+            def opened(blob):
+                planes = np.frombuffer(expand.decompress(blob), np.uint8).reshape(20 if level == 2 else 22, -1).T
+                new, steps, times, *lower = (np.ascontiguousarray(planes[:, i:j]).view(kind)[:, 0] for i, j, kind in ((0, 8, np.int64), (8, 16, np.int64), (16, 20, np.uint32), (20, 22, np.uint16))[: 3 if level == 2 else 4])
+                total, starts = np.cumsum(steps), np.flatnonzero(new)
+                word = total - np.repeat((total - steps)[starts], np.diff(np.append(starts, len(new))))
+                return np.cumsum(new) - 1, word, times, *lower
+
+            def close():
+                context, word, times, *lower = (np.concatenate(c) for c in zip(*held))
+                seen, rank = np.unique(context, return_inverse=True)
+                key, one, same = np.unique(rank * w.total + word, return_index=True, return_inverse=True)
+                n = np.bincount(same, times).astype(np.int64)
+                rank = key // w.total
+                if level == 2:
+                    counts = np.where(seen < w.total, w.counts(np.where(seen < w.total, seen, -1)), model.docs)
+                    uniq, back = np.unique(key % w.total, return_inverse=True)
+                    own = ((w.counts(uniq) + 1) / (model.tokens + w.total + 1))[back]
+                else:
+                    counts, own = model.counts(level - 1, seen), 10 ** unpacked(lower[0][one])
+                p = np.log10((n + strength * own) / (counts[rank] + strength))
+                arrays = build(seen - seen[0], "context") | build(np.searchsorted(rank, np.arange(len(seen) + 1)), "child") | build(key, "word") | {"base": seen[:1], "p": packed(p)}
+                save(model.path(level, at), arrays | ({"n": packed_counts(n)} if level < order else {}))
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(key)], pa.int64())], ["shard", "size"])
+
+            for (k,), part in runs(batches, ["shard"]):
+                if k != at:
+                    if held:
+                        yield close()
+                    held, at = [], k
+                held.extend(map(opened, part.column("grams").to_pylist()))
+            if held:
+                yield close()
+
+        return write
+
+    for level in range(2, order + 1):
+        written = texts.mapInArrow(count_grams(level), "shard long, grams binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(write_grams(level), "shard long, size long")
+        if written.agg(F.sum("size")).first()[0] is None and level == 2:
+            raise RuntimeError("a model of tokens without pairs")
+        model.built = level
     return model
 
 
@@ -309,27 +407,13 @@ def score(docs: DataFrame, model: Model, fold: int = 2, folds: int = 7) -> DataF
     """
 
     def run(batches):
-        w = model.words
         for batch in batches:
             for part in _parts(batch):
                 t = Tokens(part.column("text"))
-                ids = np.append(w.find(t.hashes) if w.total else np.full(len(t.hashes), -1), w.total)
-                n = np.append(w.counts(ids[:-1]), model.docs)
-                base = np.log10((n[:-1] + 1) / (model.tokens + w.total + 1))
-                place = model.place(ids)
-                pair, back = np.unique(t.before * len(ids) + t.codes, return_inverse=True)
-                a, b = pair // len(ids), pair % len(ids)
-                p = np.log10(model.strength / (n[a] + model.strength)) + base[b]
-                known = np.flatnonzero((ids[a] >= 0) & (ids[b] >= 0))
-                if model.tokens and len(known):
-                    keys = model.key(ids[a[known]], ids[b[known]])
-                    known = known[np.argsort(keys)]
-                    a, b = a[known], b[known]
-                    seen = model.pairs(ids[a], ids[b], model.shard(place[a], n[a], place[b]))
-                    p[known] = np.where(np.isnan(seen), p[known], seen)
+                (base, n), *_, p = model.levels(t, model.built)
                 total = lambda x: np.bincount(t.doc, x, minlength=t.n_docs)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(t.sizes, pa.int64()), pa.array(total(n[t.codes] > 0).astype(np.int64)), pa.array(np.full(t.n_docs, model.tokens, np.int64)), pa.array(total(base[t.codes])), pa.array(total(p[back]))],
+                    [part.column("doc_id"), part.column("held_out"), pa.array(t.sizes, pa.int64()), pa.array(total(n > 0).astype(np.int64)), pa.array(np.full(t.n_docs, model.tokens, np.int64)), pa.array(total(base)), pa.array(total(p))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
