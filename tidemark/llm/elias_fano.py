@@ -2,8 +2,8 @@
 
 A sorted sequence keeps the low bits of its values packed side by side and the
 high bits as a unary bit vector in which bucket h is a run of ones closed by
-the h-th zero. A directory of the zeros before every 512 bits makes selection
-one search in the directory and eight words. Files are written under a
+the h-th zero. A directory of the zeros before every 64 bits makes selection
+one search in the directory and one word. Files are written under a
 temporary name and renamed, so a task that runs again leaves the same file.
 """
 
@@ -13,7 +13,6 @@ import json
 import os
 import tempfile
 import uuid
-from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -30,12 +29,11 @@ def build(values: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
     low = max(0, (top // max(1, n)).bit_length() - 1)
     at = (values >> U64(low)).astype(np.int64) + np.arange(n)
     size = (top >> low) + n + 1
-    words = -(-size // 512) * 8
+    words = -(-size // 64)
     bits = np.zeros(words * 64, np.uint8)
     bits[at] = 1
     high = np.packbits(bits, bitorder="little").view(U64)
-    ones = np.bitwise_count(high).astype(np.int64).reshape(-1, 8).sum(1)
-    zeros = np.concatenate([[0], np.cumsum(512 - ones)[:-1]]).astype(np.int64)
+    zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))[:-1]]).astype(np.uint32)
     packed = np.zeros(n * low // 64 + 2, U64)
     if low and n:
         part = values & U64((1 << low) - 1)
@@ -56,24 +54,21 @@ class Sequence:
 
     def _select(self, k: np.ndarray, zero: bool) -> np.ndarray:
         """Positions of the k-th zeros or ones."""
+        before = self.zeros if zero else np.arange(len(self.zeros), dtype=np.uint32) * np.uint32(64) - self.zeros
+        k = k.astype(np.uint32)
+        block = np.searchsorted(before, k, "right") - 1
+        word, rest = self.high[block], k - before[block]
         if zero:
-            block = np.searchsorted(self.zeros, k, "right") - 1
-            rest = k - self.zeros[block]
-        else:
-            ones = np.arange(len(self.zeros), dtype=np.int64) * 512 - self.zeros
-            block = np.searchsorted(ones, k, "right") - 1
-            rest = k - ones[block]
-        words = self.high.reshape(-1, 8)[block]
-        words = ~words if zero else words
-        held = np.cumsum(np.bitwise_count(words).astype(np.int64), axis=1)
-        j = (held <= rest[:, None]).sum(1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(j > 0, held[rows, j - 1], 0)
-        octets = words[rows, j].copy().view(np.uint8).reshape(-1, 8)
-        held = np.cumsum(np.bitwise_count(octets).astype(np.int64), axis=1)
-        i = (held <= rest[:, None]).sum(1)
-        rest = rest - np.where(i > 0, held[rows, i - 1], 0)
-        return block * 512 + j * 64 + i * 8 + _BYTE[octets[rows, i], rest]
+            word = ~word
+        at = block * 64
+        for half in (32, 16, 8):
+            low = word & U64((1 << half) - 1)
+            held = np.bitwise_count(low)
+            above = rest >= held
+            rest = rest - held * above
+            word = np.where(above, word >> U64(half), low)
+            at += half * above
+        return at + _BYTE[word, rest]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -112,15 +107,15 @@ class Sequence:
         if len(long):
             run[long] = self._select(b[long], True) - begin[long]
         start = begin - b
-        lo, hi = start, start + run
-        end = hi
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) >> 1
-            less = open_ & (self._lows(np.minimum(mid, self.n - 1)) < want)
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        end = start + run
+        lo, hi = start, end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._lows(mid) < want[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         hit = (lo < end) & (self._lows(np.minimum(lo, self.n - 1)) == want)
         out[inside[hit]] = lo[hit]
         return out
@@ -167,42 +162,45 @@ def there(path: str) -> bool:
 
 
 def _arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
+    raw = raw.view(np.ndarray)
     size = int(raw[:8].view(np.int64)[0])
     head = json.loads(bytes(raw[8 : 8 + size]))
     return {name: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, at, n) in head.items()}
 
 
-#: Files copied from a remote shared folder, the one used longest ago first, and how many bytes they may have together.
+#: Open files, the one used longest ago first: those of a local shared folder, and copies of those of a remote one.
+_MAPS: dict[str, np.ndarray] = {}
 _COPIES: dict[str, np.ndarray] = {}
-COPIED_BYTES = 2 << 30
+#: How many bytes of each kind a worker keeps open; mapping a local file again costs little, as its pages stay cached.
+MAPPED_BYTES, COPIED_BYTES = 192 << 20, 2 << 30
 
 
 def mapped(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped and not read; none if there is no such file.
 
     A file that is not local is first copied to a nameless temporary file. A
-    worker keeps the copies it used last, COPIED_BYTES of them at most.
+    worker keeps the files it used last, MAPPED_BYTES or COPIED_BYTES of them at
+    most.
     """
-    if local := _local(path):
-        return _mapped(local)
-    raw = _COPIES.pop(path, None)
+    local = _local(path)
+    held, most = (_MAPS, MAPPED_BYTES) if local else (_COPIES, COPIED_BYTES)
+    raw = held.pop(path, None)
     if raw is None:
         if not there(path):
             return {}
-        from pyarrow.fs import FileSystem
-
-        fs, inner = FileSystem.from_uri(path)
-        with fs.open_input_stream(inner) as f, tempfile.TemporaryFile() as t:
-            while part := f.read(1 << 20):
-                t.write(part)
-            t.flush()
-            raw = np.memmap(t, np.uint8, "r")
-    _COPIES[path] = raw
-    while len(_COPIES) > 1 and sum(map(len, _COPIES.values())) > COPIED_BYTES:
-        del _COPIES[next(iter(_COPIES))]
+        raw = np.memmap(local, np.uint8, "r") if local else _copy(path)
+    held[path] = raw
+    while len(held) > 1 and sum(map(len, held.values())) > most:
+        del held[next(iter(held))]
     return _arrays(raw)
 
 
-@lru_cache(maxsize=1024)
-def _mapped(local: str) -> dict[str, np.ndarray]:
-    return _arrays(np.memmap(local, np.uint8, "r")) if os.path.exists(local) else {}
+def _copy(path: str) -> np.ndarray:
+    from pyarrow.fs import FileSystem
+
+    fs, inner = FileSystem.from_uri(path)
+    with fs.open_input_stream(inner) as f, tempfile.TemporaryFile() as t:
+        while part := f.read(1 << 20):
+            t.write(part)
+        t.flush()
+        return np.memmap(t, np.uint8, "r")

@@ -225,10 +225,10 @@ class Model:
         return out
 
     def levels(self, t: Tokens, top: int):
-        """Yields base probabilities and counts of the tokens, then the n-grams of each level up to `top`, then the tokens' probabilities.
+        """Yields the n-grams of each level up to `top`, and leaves the tokens' counts, base and own log10 probabilities in `t`.
 
-        All probabilities are log10. Levels that are built are looked up, so
-        that the one after them has their ids as contexts.
+        Levels that are built are looked up, so that the one after them has
+        their ids as contexts.
         """
         w = self.words
         ids = w.find(t.hashes) if w.total else np.full(len(t.hashes), -1)
@@ -236,8 +236,8 @@ class Model:
         rank = np.append(np.argsort(order), len(order))
         ids, word, context = np.append(ids[order], w.total), rank[t.codes], rank[t.before]
         n, place, first = np.append(w.counts(ids[:-1]), self.docs), self.place(ids).astype(float), t.before == len(t.hashes)
-        p = np.log10((n[:-1] + 1) / (self.tokens + w.total + 1))[word]
-        yield p.copy(), n[word]
+        t.n, t.base = n[word], np.log10((n[:-1] + 1) / (self.tokens + w.total + 1))[word]
+        t.p = p = t.base.copy()
         # Of contexts: their ids, their counts, and where they lie in the running totals.
         its, held, begins, share = ids, n, place, place / max(1, self.tokens)
         for level in range(2, top + 1):
@@ -251,13 +251,13 @@ class Model:
                 back = np.log10(self.strength / (held[a] + self.strength))
                 its, seen, held = self.find(level, g)
                 p[tokens] = np.where(its[of] >= 0, seen[of], back[of] + g.lower)
+            if level < top:
                 begins = at
                 # The next token's context is this n-gram, if it was ever seen and the text goes on.
-                ends = np.full(len(word), -1)
-                ends[tokens] = np.where(its[of] >= 0, of, -1)
-                context = np.where(first, -1, np.concatenate([[-1], ends[:-1]])) if len(ends) else ends
+                context = np.full(len(word) + 1, -1)
+                context[tokens + 1] = np.where(its[of] >= 0, of, -1)
+                context = np.where(first, -1, context[:-1])
             yield g
-        yield p
 
 
 def stretches(values: np.ndarray):
@@ -330,7 +330,8 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
             squeeze = zstandard.ZstdCompressor(level=1)
             for batch in batches:
                 for part in _parts(batch):
-                    *_, g, _ = model.levels(Tokens(part.column("text")), level)
+                    for g in model.levels(Tokens(part.column("text")), level):
+                        pass
                     times, lower = np.bincount(g.of), np.zeros(len(g.context), np.uint16)
                     lower[g.of] = packed(g.lower)
                     order = np.argsort(g.shard, kind="stable")
@@ -410,10 +411,11 @@ def score(docs: DataFrame, model: Model, fold: int = 2, folds: int = 7) -> DataF
         for batch in batches:
             for part in _parts(batch):
                 t = Tokens(part.column("text"))
-                (base, n), *_, p = model.levels(t, model.built)
+                for _ in model.levels(t, model.built):
+                    pass
                 total = lambda x: np.bincount(t.doc, x, minlength=t.n_docs)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(t.sizes, pa.int64()), pa.array(total(n > 0).astype(np.int64)), pa.array(np.full(t.n_docs, model.tokens, np.int64)), pa.array(total(base)), pa.array(total(p))],
+                    [part.column("doc_id"), part.column("held_out"), pa.array(t.sizes, pa.int64()), pa.array(total(t.n > 0).astype(np.int64)), pa.array(np.full(t.n_docs, model.tokens, np.int64)), pa.array(total(t.base)), pa.array(total(t.p))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
