@@ -3,8 +3,10 @@
 import itertools
 import json
 
+from conftest import DATA
 
 from tidemark.operators import changelog, cluster, replay, rules
+from tidemark.plans import registry
 from tidemark.sources import catalog
 from tidemark.streaming import streams
 
@@ -300,3 +302,14 @@ def test_folders_texts_and_times(spark, tmp_path):
     assert spark.range(1).select(S.iso_utc(F.lit(1704067200500.0))).first()[0] == "2024-01-01T00:00:00.500Z"
     urls = spark.createDataFrame([("a",), ("ws://b:1",)], "n string").select(S.node_url(F.col("n"), F.lit(9933), F.lit(False))).collect()
     assert [r[0] for r in urls] == ["ws://a:9933", "ws://b:1"]
+
+
+def test_confirmed_peers_gathers_no_pairs_before_the_shuffle(spark):
+    acks = spark.createDataFrame([("a", p % 7, 5) for p in range(90)] + [("a", 99, 1), ("b", 1, 3), ("b", 1, 4), ("b", 2, 2), ("c", 1, 9), ("d", None, 9), ("e", 1, None), (None, 1, 9)], "txn string, peer long, replicated_time long")
+    txns = spark.createDataFrame([("a", 2), ("b", 3), ("d", 1), ("e", 1), ("f", 0), (None, 0)], "txn string, txn_time long")
+    for tasks in (None, 1, 5):
+        assert sorted(map(tuple, cluster.confirmed(acks, txns, 2, tasks).collect())) == [("a", 7, True), ("b", 1, False), ("d", 0, False)]
+    # From the bottom up, rows are shuffled by transaction before anything is aggregated, and never again.
+    plan = registry.QUERIES["confirmed_peers"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    steps = [step for line in plan.splitlines() for step in ("Aggregate(", "Exchange", "FileScan") if f" {step}" in line or f"Hash{step}" in line]
+    assert steps[-4:] == ["Exchange", "FileScan"] * 2 and set(steps[:-4]) == {"Aggregate("}, plan

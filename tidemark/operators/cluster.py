@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.running import running
 
 CONNECTED = 2
+#: A task that counts peers gets about this many rows; up to 200 tasks the shuffle before it writes rows without holding them.
+TASK_ROWS, MOST_TASKS = 1 << 18, 200
 
 
 def normal_routes(routes: DataFrame) -> DataFrame:
@@ -122,9 +124,15 @@ def by_shard(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("shard").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
 
 
-def confirmed(acks: DataFrame, needed: int) -> DataFrame:
-    """(txn, peers, reached): distinct peers that have replicated up to each transaction's time."""
-    return acks.where(F.col("replicated_time") >= F.col("txn_time")).groupBy("txn").agg(F.countDistinct("peer").alias("peers")).withColumn("reached", F.col("peers") >= needed)
+def confirmed(acks: DataFrame, txns: DataFrame, needed: int, tasks: int | None = None) -> DataFrame:
+    """(txn, peers, reached): distinct peers (txn, peer, replicated_time) that have replicated up to each transaction's time (txn, txn_time).
+
+    Pairs of transaction and peer hardly repeat, so none are gathered before
+    the shuffle, and its tasks are in proportion to the rows.
+    """
+    tasks = tasks or max(1, min(MOST_TASKS, -(-acks.count() // TASK_ROWS)))
+    both = acks.repartition(tasks, "txn").join(txns.repartition(tasks, "txn").hint("merge"), "txn")
+    return both.where(F.col("replicated_time") >= F.col("txn_time")).groupBy("txn").agg(F.countDistinct("peer").alias("peers")).withColumn("reached", F.col("peers") >= needed)
 
 
 def nearest_peer(peers: DataFrame, by: str) -> DataFrame:

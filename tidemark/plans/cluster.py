@@ -48,8 +48,9 @@ def sync_complete(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT l_orderkey AS txn, count(DISTINCT l_suppkey) AS peers, count(DISTINCT l_suppkey) >= 3 AS reached FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY 1""")
 def confirmed_peers(spark, sf_dir) -> DataFrame:
-    acks = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("txn"), F.col("l_suppkey").alias("peer"), F.col("l_shipdate").alias("replicated_time"), F.col("o_orderdate").alias("txn_time"))
-    return C.confirmed(acks, 3)
+    acks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("txn"), F.col("l_suppkey").alias("peer"), F.col("l_shipdate").alias("replicated_time"))
+    txns = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("txn"), F.col("o_orderdate").alias("txn_time"))
+    return C.confirmed(acks, txns, 3)
 
 
 @query("""SELECT l_orderkey AS record, arg_min(l_suppkey, (l_extendedprice, l_linenumber, l_suppkey)) AS peer FROM lineitem WHERE l_returnflag <> 'N' AND l_linestatus = 'F' GROUP BY 1""")
