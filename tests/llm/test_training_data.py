@@ -538,3 +538,36 @@ def test_two_encoders_of_many_words_agree():
     words = sorted({"".join(rng.choice(" aehtinrs é中😀ß.,0") for _ in range(rng.randint(1, 60))).replace("\n", "") for _ in range(2000)})
     words = [w for w in words if w.strip(" ") == "" or " " not in w.lstrip(" ")]
     assert p.found(words) == [p.to_ids(p.merge(w.replace(" ", pieces.MARK))) for w in words]
+
+
+def test_words_are_hashed_together_and_grams_searched_with_few_reads(monkeypatch):
+    import pyarrow as pa
+
+    words = [b"a", b"b", b"A\0", b"\0", b"\0\0", b"eightbyt", b"eightbyte", b"x" * 64, b"x" * 63 + b"y", "é".encode() * 9]
+    texts = pa.array([b" ".join(words).decode(), None, "", "  b\t A ", b" ".join(words[5:]).decode()])
+    # Only words of more than 64 bytes may be hashed on their own.
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "xxhash", None)
+        t = language_model.Tokens(texts)
+    assert t.sizes.tolist() == [11, 1, 1, 3, 6] and len(set(t.hashes.tolist())) == len(words) + 1
+    assert t.codes.tolist() == [*range(10), 10, 10, 10, 1, 0, 10, 5, 6, 7, 8, 9, 10]
+    long = language_model.Tokens(pa.array(["z" * 65 + " " + "z" * 66, "z" * 66, "b"]))
+    assert long.codes.tolist() == [0, 1, 3, 1, 3, 2, 3] and long.hashes[2] == t.hashes[1] and long.hashes[3] == t.hashes[10]
+
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(0, 1 << 40, 5000), np.concatenate([np.arange(3000), rng.integers(0, 1 << 50, 2000)]), np.arange(200) << 55, rng.integers(0, 1 << 62, 3), np.array([0]), np.array([], np.int64)):
+        values = np.unique(values).astype(np.uint64)
+        s = elias_fano.Sequence(elias_fano.build(values, "v"), "v")
+        asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, 1 << 63, 99).astype(np.uint64), np.array([0, (1 << 63) + 5, (1 << 64) - 1], np.uint64)])
+        place = {v: i for i, v in enumerate(values.tolist())}
+        assert s.find(asked).tolist() == [place.get(v, -1) for v in asked.tolist()]
+    # A bucket of one value is read once, and one of n values once more than it is halved.
+    reads, s = [], elias_fano.Sequence(elias_fano.build(np.arange(1000, dtype=np.uint64) * 1024, "v"), "v")
+    lows = s._lows
+    s._lows = lambda i: reads.append(len(i)) or lows(i)
+    assert s.find(np.arange(1000) * 1024).tolist() == list(range(1000))
+    assert sum(reads) <= 2000
+
+    for x in (rng.integers(0, 50, 999), rng.integers(0, 1 << 62, 99), np.array([5]), np.array([], np.int64), np.array([-1, 3, -1])):
+        for got, want in zip(language_model.unique(x), np.unique(x, return_inverse=True)):
+            assert got.tolist() == want.tolist()

@@ -74,6 +74,10 @@ class Sequence:
         if not self.low:
             return np.zeros(len(i), U64)
         bit = i * self.low
+        if self.low <= 57:
+            # The eight bytes from a value's first bit on hold all of it.
+            eight = np.ndarray(self.packed.nbytes - 7, "<u8", self.packed, strides=(1,))
+            return (eight[bit >> 3] >> (bit & 7).astype(U64)) & U64((1 << self.low) - 1)
         word, shift = bit >> 6, (bit & 63).astype(U64)
         both = (self.packed[word] >> shift) | np.where(shift > 0, self.packed[word + 1] << ((U64(64) - shift) & U64(63)), U64(0))
         return both & U64((1 << self.low) - 1)
@@ -90,15 +94,13 @@ class Sequence:
 
     def _find(self, values: np.ndarray) -> np.ndarray:
         values = values.astype(U64)
-        bucket = (values >> U64(self.low)).astype(np.int64)
+        bucket = values >> U64(self.low)
         out = np.full(len(values), -1, np.int64)
-        inside = np.flatnonzero((bucket <= self.buckets) & (bucket >= 0)) if self.n else np.zeros(0, np.int64)
+        inside = np.flatnonzero(bucket <= U64(self.buckets)) if self.n else np.zeros(0, np.int64)
         if not len(inside):
             return out
-        b, want = bucket[inside], values[inside] & U64((1 << self.low) - 1)
-        begin = np.zeros(len(b), np.int64)
-        later = b > 0
-        begin[later] = self._select(b[later] - 1, True) + 1
+        b, want = bucket[inside].astype(np.int64), values[inside] & U64((1 << self.low) - 1)
+        begin = np.where(b > 0, self._select(np.maximum(b - 1, 0), True) + 1, 0)
         # The bucket is the run of ones from here on.
         word, shift = begin >> 6, (begin & 63).astype(U64)
         here = (self.high[word] >> shift) | np.where(shift > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((U64(64) - shift) & U64(63)), U64(0))
@@ -106,18 +108,20 @@ class Sequence:
         long = np.flatnonzero(run >= 63)
         if len(long):
             run[long] = self._select(b[long], True) - begin[long]
-        start = begin - b
-        end = start + run
-        lo, hi = start, end.copy()
-        open_ = np.flatnonzero(lo < hi)
+        # The last value of the bucket that is not above the wanted one; the open searches are kept together.
+        at = begin - b
+        open_ = np.flatnonzero(run > 1)
+        low, left, aim = at[open_], run[open_], want[open_]
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self._lows(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        hit = (lo < end) & (self._lows(np.minimum(lo, self.n - 1)) == want)
-        out[inside[hit]] = lo[hit]
+            half = left >> 1
+            low = np.where(self._lows(low + half) <= aim, low + half, low)
+            left -= half
+            still = np.flatnonzero(left > 1)
+            if 2 * len(still) <= len(open_):
+                at[open_] = low
+                open_, low, left, aim = open_[still], low[still], left[still], aim[still]
+        hit = (run > 0) & (self._lows(np.minimum(at, self.n - 1)) == want)
+        out[inside[hit]] = at[hit]
         return out
 
 

@@ -63,14 +63,42 @@ def unpacked_counts(q: np.ndarray) -> np.ndarray:
     return (q & 2047) << (q >> 11)
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
+#: Words are hashed in pieces of eight bytes, and those of more bytes than this on their own.
+HASHED_BYTES = 64
 
-    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers in which every bit depends on all."""
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (32, 0xD6E8FEB86659FD93), (32, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h
 
-#: No word holds a space, so these stand for the end of a text and for what comes before it.
-END_WORD = b" "
+
+def _hash(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+    """64-bit hashes of the words that begin at these bytes, by chunks that stay in the cache."""
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.concatenate([_hashed(raw, begin[k : k + chunk], size[k : k + chunk]) for k in range(0, max(1, len(begin)), chunk)])
+
+
+def _hashed(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of words in bytes that eight more follow; different words of one size up to eight bytes have different ones."""
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    out = _mixed(_mixed(size.astype(np.uint64)) ^ (eight[begin] & masks[np.minimum(size, 8)]))
+    left = np.flatnonzero((size > 8) & (size <= HASHED_BYTES))
+    for at in range(8, HASHED_BYTES, 8):
+        left = left[size[left] > at]
+        out[left] = _mixed(out[left] ^ (eight[begin[left] + at] & masks[np.minimum(size[left] - at, 8)]))
+    long = np.flatnonzero(size > HASHED_BYTES)
+    if len(long):
+        from xxhash import xxh64_intdigest
+
+        out[long] = [xxh64_intdigest(raw[a : a + n]) for a, n in zip(begin[long].tolist(), size[long].tolist())]
+    return out
+
+
+#: The hash of a space, which no word holds, stands for the end of a text.
+END_HASH = _hash(np.frombuffer(b" ", np.uint8), np.array([0]), np.array([1]))
 
 
 class Tokens:
@@ -79,23 +107,25 @@ class Tokens:
     def __init__(self, texts):
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
-        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = split.flatten()
-        some = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(len(sizes)), sizes)[some]
-        words = flat.filter(pa.array(some)).dictionary_encode()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        names = words.dictionary.cast(pa.binary()).to_pylist()
-        self.n_docs, self.hashes = len(sizes), np.append(_hash(names), _hash([END_WORD]))
-        held = np.bincount(doc, minlength=len(sizes))
+        held = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = split.flatten().cast(pa.large_binary())
+        _, at, raw = flat.buffers()
+        at = np.frombuffer(at, np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        begin, size = at[:-1], np.diff(at)
+        if not size.all():
+            some = size > 0
+            held = np.bincount(np.repeat(np.arange(len(held)), held)[some], minlength=len(held))
+            begin, size = begin[some], size[some]
+        words = pa.array(_hash(np.frombuffer(raw or b"", np.uint8), begin, size).view(np.int64)).dictionary_encode()
+        self.n_docs, self.hashes = len(held), np.append(words.dictionary.to_numpy().view(np.uint64), END_HASH)
         self.sizes = held + 1
         # Each text's words, then its end.
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.doc = np.repeat(np.arange(len(held)), self.sizes)
         last = np.cumsum(self.sizes) - 1
-        self.codes = np.full(len(self.doc), len(names), np.int64)
         inner = np.ones(len(self.doc), bool)
         inner[last] = False
-        self.codes[inner] = codes
+        self.codes = np.full(len(self.doc), len(self.hashes) - 1, np.int64)
+        self.codes[inner] = words.indices.to_numpy()
         #: The code before each token; one past the end stands for the start.
         self.before = np.concatenate([[0], self.codes[:-1]]) if len(self.codes) else self.codes.copy()
         self.before[np.concatenate([[0], last[:-1] + 1]) if len(last) else last] = len(self.hashes)
@@ -242,7 +272,7 @@ class Model:
         its, held, begins, share = ids, n, place, place / max(1, self.tokens)
         for level in range(2, top + 1):
             tokens = np.flatnonzero(context >= 0)
-            gram, of = np.unique(context[tokens] * len(ids) + word[tokens], return_inverse=True)
+            gram, of = unique(context[tokens] * len(ids) + word[tokens])
             a, b = gram // len(ids), gram % len(ids)
             at = begins[a] + held[a] * share[b]
             shard = (at * (self.shards / max(1, self.tokens + self.docs))).astype(np.int64) % self.shards
@@ -260,6 +290,19 @@ class Model:
             yield g
 
 
+def unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and which of them each value is; sorts values and places as one number where both fit."""
+    bits = len(values).bit_length()
+    if not len(values) or int(values.min()) < 0 or int(values.max()) >> (63 - bits):
+        return np.unique(values, return_inverse=True)
+    both = np.sort(values << bits | np.arange(len(values)))
+    values, place = both >> bits, both & ((1 << bits) - 1)
+    new = np.diff(values, prepend=-1) != 0
+    which = np.empty(len(values), np.int64)
+    which[place] = np.cumsum(new) - 1
+    return values[new], which
+
+
 def stretches(values: np.ndarray):
     """(value, slice) of each stretch of equal values."""
     cuts = [*np.flatnonzero(np.diff(values, prepend=-1)).tolist(), len(values)]
@@ -291,7 +334,7 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
 
     counts = cut(texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
     vocabulary, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    end = int(_hash([END_WORD]).view(np.int64)[0])
+    end = int(END_HASH.view(np.int64)[0])
     row = counts.where(F.col("hash") == end).first()
     n_docs = row.n if row else 0
     folder, word_shards = fresh_path(spark, "ngrams"), max(1, min(1 << 16, -(-vocabulary // shard_tokens)))
