@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import Sequence, build, mapped, save
-from .runtime import cut, fresh_path, pick, runs
+from .runtime import cut, fresh_path, pick, release, runs
 
 LOWEST, STEPS = -16.0, 65535
 #: An n-gram's id is its shard's number and, in so many bits, its place in the shard.
@@ -77,7 +77,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _hash(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
     """64-bit hashes of the words that begin at these bytes, by chunks that stay in the cache."""
     raw = np.concatenate([raw, np.zeros(8, np.uint8)])
-    return np.concatenate([_hashed(raw, begin[k : k + chunk], size[k : k + chunk]) for k in range(0, max(1, len(begin)), chunk)])
+    out = np.empty(len(begin), np.uint64)
+    for k in range(0, len(begin), chunk):
+        out[k : k + chunk] = _hashed(raw, begin[k : k + chunk], size[k : k + chunk])
+    return out
 
 
 def _hashed(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -120,15 +123,20 @@ class Tokens:
         self.n_docs, self.hashes = len(held), np.append(words.dictionary.to_numpy().view(np.uint64), END_HASH)
         self.sizes = held + 1
         # Each text's words, then its end.
-        self.doc = np.repeat(np.arange(len(held)), self.sizes)
         last = np.cumsum(self.sizes) - 1
-        inner = np.ones(len(self.doc), bool)
+        inner = np.ones(int(self.sizes.sum()), bool)
         inner[last] = False
-        self.codes = np.full(len(self.doc), len(self.hashes) - 1, np.int64)
+        self.codes = np.full(len(inner), len(self.hashes) - 1, np.int32)
         self.codes[inner] = words.indices.to_numpy()
         #: The code before each token; one past the end stands for the start.
-        self.before = np.concatenate([[0], self.codes[:-1]]) if len(self.codes) else self.codes.copy()
-        self.before[np.concatenate([[0], last[:-1] + 1]) if len(last) else last] = len(self.hashes)
+        self.before = np.empty_like(self.codes)
+        self.before[1:] = self.codes[:-1]
+        self.before[last - held] = len(self.hashes)
+
+    @property
+    def doc(self) -> np.ndarray:
+        """Which text each token is of."""
+        return np.repeat(np.arange(self.n_docs), self.sizes)
 
 
 def _parts(batch, most: int = 8 << 20):
@@ -144,6 +152,18 @@ def _parts(batch, most: int = 8 << 20):
     return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
+def _by_parts(f):
+    """A function for mapInArrow that gives f(slice) for every slice; of a slice nothing stays when the next one begins."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                yield f(part)
+                release()
+
+    return run
+
+
 class Words:
     """Level one, shard by shard: ids and counts of hashed words."""
 
@@ -192,12 +212,12 @@ class Words:
 class Grams:
     """The different n-grams of some texts at one level, in the order of their contexts and words."""
 
-    tokens: np.ndarray  #: The tokens that have an n-gram of this level,
-    of: np.ndarray  #: and which n-gram each of them ends.
     context: np.ndarray
     word: np.ndarray
     shard: np.ndarray
-    lower: np.ndarray  #: log10 of what one level above gives each of `tokens`
+    #: Of a level that isn't built: how often these texts have each of them, and log10 of what one level above gives it.
+    times: np.ndarray | None = None
+    lower: np.ndarray | None = None
 
 
 class Model:
@@ -254,40 +274,59 @@ class Model:
             out[part] = unpacked_counts(mapped(self.path(level, k))["n"][ids[part] & ((1 << SHARD_BITS) - 1)])
         return out
 
-    def levels(self, t: Tokens, top: int):
-        """Yields the n-grams of each level up to `top`, and leaves the tokens' counts, base and own log10 probabilities in `t`.
+    def levels(self, t: Tokens, top: int) -> Grams | None:
+        """The n-grams of the level `top` if that isn't built; leaves counts and base log10 probabilities of the different words, and the tokens' words and own log10 probabilities, in `t`.
 
         Levels that are built are looked up, so that the one after them has
-        their ids as contexts.
+        their ids as contexts. An array with an element for each token is kept
+        no longer than it is read, and those that stay are of 32 bits where
+        these do: such arrays are what a worker's memory is made of.
         """
         w = self.words
         ids = w.find(t.hashes) if w.total else np.full(len(t.hashes), -1)
         order = np.argsort(ids, kind="stable")
-        rank = np.append(np.argsort(order), len(order))
-        ids, word, context = np.append(ids[order], w.total), rank[t.codes], rank[t.before]
-        n, place, first = np.append(w.counts(ids[:-1]), self.docs), self.place(ids).astype(float), t.before == len(t.hashes)
-        t.n, t.base = n[word], np.log10((n[:-1] + 1) / (self.tokens + w.total + 1))[word]
-        t.p = p = t.base.copy()
+        rank = np.append(np.argsort(order), len(order)).astype(np.int32)
+        ids, first = np.append(ids[order], w.total), t.before == len(t.hashes)
+        t.word, context = rank[t.codes], rank[t.before]
+        t.codes = t.before = None
+        n, place = np.append(w.counts(ids[:-1]), self.docs), self.place(ids).astype(float)
+        t.n, t.base = n[:-1], np.log10((n[:-1] + 1) / (self.tokens + w.total + 1))
+        t.p = t.base[t.word]
         # Of contexts: their ids, their counts, and where they lie in the running totals.
         its, held, begins, share = ids, n, place, place / max(1, self.tokens)
         for level in range(2, top + 1):
-            tokens = np.flatnonzero(context >= 0)
-            gram, of = unique(context[tokens] * len(ids) + word[tokens])
+            tokens = np.flatnonzero(context >= 0).astype(np.int32)
+            pairs = context[tokens] * np.int64(len(ids))
+            context = None
+            pairs += t.word[tokens]
+            gram, of = unique(pairs)
+            pairs = None
             a, b = gram // len(ids), gram % len(ids)
             at = begins[a] + held[a] * share[b]
             shard = (at * (self.shards / max(1, self.tokens + self.docs))).astype(np.int64) % self.shards
-            g = Grams(tokens, of, its[a], ids[b], shard, p[tokens])
-            if level <= self.built:
-                back = np.log10(self.strength / (held[a] + self.strength))
-                its, seen, held = self.find(level, g)
-                p[tokens] = np.where(its[of] >= 0, seen[of], back[of] + g.lower)
+            g = Grams(its[a], ids[b], shard)
+            if level > self.built:
+                some = np.zeros(len(gram), np.int32)
+                some[of] = tokens  # any of its tokens: the level above gives the same to all
+                g.times, g.lower = np.bincount(of, minlength=len(gram)), t.p[some]
+                return g
+            back = np.log10(self.strength / (held[a] + self.strength))
+            begins = at
+            gram = a = b = its = seen = held = at = shard = None
+            its, seen, held = self.find(level, g)
+            g = None
+            p = np.where(its >= 0, seen, back)[of]
+            open_ = np.flatnonzero((its < 0)[of])
+            p[open_] += t.p[tokens[open_]]
+            t.p[tokens] = p
+            p = open_ = None
             if level < top:
-                begins = at
                 # The next token's context is this n-gram, if it was ever seen and the text goes on.
-                context = np.full(len(word) + 1, -1)
-                context[tokens + 1] = np.where(its[of] >= 0, of, -1)
-                context = np.where(first, -1, context[:-1])
-            yield g
+                context = np.full(len(first) + 1, -1, np.int32)
+                context[tokens + 1] = np.where(its >= 0, np.arange(len(its), dtype=np.int32), np.int32(-1))[of]
+                context = context[:-1]
+                context[first] = -1
+        return None
 
 
 def unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,12 +334,19 @@ def unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = len(values).bit_length()
     if not len(values) or int(values.min()) < 0 or int(values.max()) >> (63 - bits):
         return np.unique(values, return_inverse=True)
-    both = np.sort(values << bits | np.arange(len(values)))
-    values, place = both >> bits, both & ((1 << bits) - 1)
-    new = np.diff(values, prepend=-1) != 0
-    which = np.empty(len(values), np.int64)
-    which[place] = np.cumsum(new) - 1
-    return values[new], which
+    both = values << bits
+    both |= np.arange(len(values))
+    both.sort()
+    place = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.ones(len(values), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    values, both = both[new], None
+    rank = np.cumsum(new, dtype=np.int32 if bits < 32 else np.int64)
+    rank -= 1
+    which = np.empty_like(rank)
+    which[place] = rank
+    return values, which
 
 
 def stretches(values: np.ndarray):
@@ -325,14 +371,12 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
     spark = docs.sparkSession
     texts = pick(docs, doc_id="bigint", text="string").where(_training(fold, folds)).select("text")
 
-    def count(batches):
-        for batch in batches:
-            for part in _parts(batch):
-                t = Tokens(part.column("text"))
-                n = np.bincount(t.codes, minlength=len(t.hashes))
-                yield pa.RecordBatch.from_arrays([pa.array(t.hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
+    def count(part):
+        t = Tokens(part.column("text"))
+        n = np.bincount(t.codes, minlength=len(t.hashes))
+        return pa.RecordBatch.from_arrays([pa.array(t.hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
 
-    counts = cut(texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    counts = cut(texts.mapInArrow(_by_parts(count), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
     vocabulary, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     end = int(END_HASH.view(np.int64)[0])
     row = counts.where(F.col("hash") == end).first()
@@ -346,6 +390,7 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
             h = np.concatenate([x[0] for x in held])
             order = np.argsort(h)
             n = np.concatenate([x[1] for x in held])[order]
+            held.clear()
             save(f"{folder}/words-{at}", build(h[order], "hash") | build(np.concatenate([[0], np.cumsum(n)]), "sum"))
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "size", "tokens"])
 
@@ -353,10 +398,12 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
             if k != at:
                 if held:
                     yield close()
+                    release()
                 held, at = [], k
             held.append((part.column("hash").to_numpy().view(np.uint64), part.column("n").to_numpy()))
         if held:
             yield close()
+            release()
 
     shard = F.shiftright(F.shiftrightunsigned("hash", 48) * word_shards, 16)
     made = {r.shard: r for r in counts.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(write_words, "shard long, size long, tokens long").collect()}
@@ -367,29 +414,24 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
         return model
 
     def count_grams(level):
-        def count(batches):
+        def count(part):
             import zstandard
 
             squeeze = zstandard.ZstdCompressor(level=1)
-            for batch in batches:
-                for part in _parts(batch):
-                    for g in model.levels(Tokens(part.column("text")), level):
-                        pass
-                    times, lower = np.bincount(g.of), np.zeros(len(g.context), np.uint16)
-                    lower[g.of] = packed(g.lower)
-                    order = np.argsort(g.shard, kind="stable")
-                    shards, blobs = [], []
-                    for k, s in stretches(g.shard[order]):
-                        at = order[s]
-                        new, steps = np.diff(g.context[at], prepend=-1), np.diff(g.word[at], prepend=0)
-                        steps[new != 0] = g.word[at[new != 0]]
-                        columns = [new, steps, times[at].astype(np.uint32), *([lower[at]] if level > 2 else [])]
-                        planes = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(at), -1) for c in columns], 1)
-                        shards.append(k)
-                        blobs.append(squeeze.compress(np.ascontiguousarray(planes.T).tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "grams"])
-
-        return count
+            g = model.levels(Tokens(part.column("text")), level)
+            lower, order = packed(g.lower), np.argsort(g.shard, kind="stable")
+            shards, blobs = [], []
+            for k, s in stretches(g.shard[order]):
+                at = order[s]
+                new, steps = np.diff(g.context[at], prepend=-1), np.diff(g.word[at], prepend=0)
+                steps[new != 0] = g.word[at[new != 0]]
+                columns = [new, steps, g.times[at].astype(np.uint32), *([lower[at]] if level > 2 else [])]
+                planes = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(at), -1) for c in columns], 1)
+                shards.append(k)
+                blobs.append(squeeze.compress(np.ascontiguousarray(planes.T).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "grams"])
+
+        return _by_parts(count)
 
     def write_grams(level):
         def write(batches):
@@ -406,17 +448,24 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
                 return np.cumsum(new) - 1, word, times, *lower
 
             def close():
-                context, word, times, *lower = (np.concatenate(c) for c in zip(*held))
-                seen, rank = np.unique(context, return_inverse=True)
-                key, one, same = np.unique(rank * w.total + word, return_index=True, return_inverse=True)
+                context, word, times, *lower = [np.concatenate(c) for c in zip(*held)]
+                held.clear()
+                seen, rank = unique(context)
+                word += rank * np.int64(w.total)
+                key, same = unique(word)
                 n = np.bincount(same, times).astype(np.int64)
+                if level > 2:
+                    # Every slice has found the same for an n-gram.
+                    own = np.empty(len(key), np.uint16)
+                    own[same] = lower[0]
+                context = word = times = lower = same = None
                 rank = key // w.total
                 if level == 2:
                     counts = np.where(seen < w.total, w.counts(np.where(seen < w.total, seen, -1)), model.docs)
                     uniq, back = np.unique(key % w.total, return_inverse=True)
                     own = ((w.counts(uniq) + 1) / (model.tokens + w.total + 1))[back]
                 else:
-                    counts, own = model.counts(level - 1, seen), 10 ** unpacked(lower[0][one])
+                    counts, own = model.counts(level - 1, seen), 10 ** unpacked(own)
                 p = np.log10((n + strength * own) / (counts[rank] + strength))
                 arrays = build(seen - seen[0], "context") | build(np.searchsorted(rank, np.arange(len(seen) + 1)), "child") | build(key, "word") | {"base": seen[:1], "p": packed(p)}
                 save(model.path(level, at), arrays | ({"n": packed_counts(n)} if level < order else {}))
@@ -426,10 +475,12 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 7, shard_tokens: int = 1
                 if k != at:
                     if held:
                         yield close()
+                        release()
                     held, at = [], k
                 held.extend(map(opened, part.column("grams").to_pylist()))
             if held:
                 yield close()
+                release()
 
         return write
 
@@ -450,17 +501,15 @@ def score(docs: DataFrame, model: Model, fold: int = 2, folds: int = 7) -> DataF
     columns are not looked at.
     """
 
-    def run(batches):
-        for batch in batches:
-            for part in _parts(batch):
-                t = Tokens(part.column("text"))
-                for _ in model.levels(t, model.built):
-                    pass
-                total = lambda x: np.bincount(t.doc, x, minlength=t.n_docs)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(t.sizes, pa.int64()), pa.array(total(t.n > 0).astype(np.int64)), pa.array(np.full(t.n_docs, model.tokens, np.int64)), pa.array(total(t.base)), pa.array(total(t.p))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+    def scored(part):
+        t = Tokens(part.column("text"))
+        model.levels(t, model.built)
+        doc = t.doc
+        total = lambda x: np.bincount(doc, x, minlength=t.n_docs)
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("held_out"), pa.array(t.sizes, pa.int64()), pa.array(total((t.n > 0)[t.word]).astype(np.int64)), pa.array(np.full(t.n_docs, model.tokens, np.int64)), pa.array(total(t.base[t.word])), pa.array(total(t.p))],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     rows = pick(docs, doc_id="bigint", text="string").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False)))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(_by_parts(scored), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import uuid
@@ -90,6 +91,15 @@ def matrix(column):
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers live on from task to task, and would else keep the most that any of them took."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def runs(batches, keys: list[str]):
     """(key, part of a batch) for every stretch of equal keys in sorted Arrow batches."""
     import numpy as np
